@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, packing, url_filter
+from . import ann, chat_format, decontaminate, language_id, packing, quality, simhash, url_filter
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_approximate_nearest_neighbours": ann.op3_approximate_nearest_neighbours,
+    "op5_language_id": language_id.op5_language_id,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_chat_formatting": chat_format.op9_chat_formatting,
