@@ -18,7 +18,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, slices, stored, table
@@ -42,14 +42,14 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (signed 64 bits) of each row."""
+    """doc_id, th (hash of the text) and fp (signed 64 bits) of each row."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = [fingerprint(t or "", shingle, seed) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(found, pa.int64())], names=["doc_id", "th", "fp"])
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(prints, "doc_id long, fp long")
+    return pick(docs, doc_id="long", text="string").withColumn("th", F.xxhash64("text")).mapInArrow(prints, "doc_id long, th long, fp long")
 
 
 def grid_cells(fp: Column) -> Column:
@@ -71,16 +71,30 @@ def close_pairs(fps: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
-def group_near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id reachable by links of 2 differing bits or fewer."""
-    marked = stored(fingerprints(docs, shingle, seed))
+def _labels(marked: DataFrame) -> DataFrame:
+    """fp, component (the smallest linked fp) and component_id (the smallest doc_id of the component) of each fingerprint."""
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     linked = components(close_pairs(distinct)).withColumnRenamed("node", "fp")
     named = linked.join(distinct, "fp")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
-    named = named.join(least, "component").select("fp", "least")
-    labels = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+    named = named.join(least, "component").select("fp", "component", "least")
+    return distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+
+
+def group_near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id reachable by links of 2 differing bits or fewer."""
+    marked = stored(fingerprints(docs, shingle, seed))
+    return marked.join(_labels(marked), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the row with the smallest doc_id (null last), then hash of the text."""
+    marked = stored(fingerprints(docs, shingle, seed))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = marked.join(_labels(marked), "fp").groupBy("component").agg(F.min(order).alias("_row")).select("_row")
+    own = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th")))
+    once = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))  # rows that repeat another stay once
+    return own.join(first, "_row").withColumn("_once", once).where("_once = 1").select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
