@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_chat_formatting": chat_format.OP9_SQL,
     "op10_url_filters": url_filter.OP10_SQL,
 }
