@@ -69,14 +69,23 @@ def rank_score() -> Column:
     return 4.0 * F.coalesce("avg_line_score", F.lit(0.0)) + F.least(F.coalesce("word_count", F.lit(0)), F.lit(40)) / 10.0 - 3.0 * F.coalesce("junk_ratio", F.lit(0.0)) - F.when(F.col("candidate_type") == "merged_line_policy", 2.0).otherwise(0.0)
 
 
-def choose(df: DataFrame, key: str, predicted: str | None = None) -> DataFrame:
-    """The chosen candidate of each item: lowest predicted error, or, without a prediction or if that is blank, the best rank score."""
+def choose(df: DataFrame, key: str, predicted: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The chosen candidate of each item: lowest predicted error, or, without a prediction or if that is blank, the best rank score.
+
+    Both choices are made in one aggregation with partial results before the exchange. ``keep`` names the columns that
+    come along: what is not asked for is not computed.
+    """
     ranked = df.withColumn("rank_score", rank_score())
-    best = first_by(ranked, [key], F.desc("rank_score"), F.desc("text_len"), F.asc("cand_ord"), F.asc("candidate_name"))
-    if predicted is None:
-        return best
-    by_model = first_by(ranked.where(F.col(predicted).isNotNull()), [key], F.asc(predicted), F.asc("junk_ratio"), F.desc("text_len"), F.asc("cand_ord"), F.asc("candidate_name")).where(F.trim("ocr_text") != "")
-    return by_model.unionByName(best.join(by_model.select(key), key, "left_anti"))
+    row = F.struct("ocr_text", *(c for c in keep or ranked.columns if c not in (key, "ocr_text")))
+    ties = [-F.col("text_len"), F.col("cand_ord"), F.col("candidate_name")]
+    picks = [F.min_by(row, F.struct((-F.col("rank_score")).alias("a"), *(t.alias(f"t{k}") for k, t in enumerate(ties)))).alias("_best")]
+    if predicted is not None:
+        order = F.struct(F.col(predicted).alias("a"), F.col("junk_ratio").alias("b"), *(t.alias(f"t{k}") for k, t in enumerate(ties)))
+        picks.append(F.min_by(row, F.when(F.col(predicted).isNotNull(), order)).alias("_model"))
+    out = ranked.groupBy(key).agg(*picks)
+    if predicted is not None:
+        out = out.withColumn("_best", F.when(F.trim("_model.ocr_text") != "", F.col("_model")).otherwise(F.col("_best")))
+    return out.select(key, "_best.*")
 
 
 def prepared(df: DataFrame, numeric: list[str] = NUMERIC, categorical: list[str] = CATEGORICAL, missing: float | None = 0.0) -> DataFrame:

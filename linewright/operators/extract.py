@@ -230,7 +230,8 @@ def phrase_candidates(df: DataFrame, key: str, text: str = "ocr_text", brand: st
     split = split.withColumn("_seg", bare_phrase(without_brands(F.col("_seg"), F.col("_brand")))).where((F.col("_seg") != "") & F.col("_seg").rlike(PRODUCT_CUE)).withColumn("_t", tokens(F.col("_seg")))
     seg, t = F.col("_seg"), F.col("_t")
     item = lambda source, seq, phrase: F.struct(F.lit(source).alias("source"), seq.cast("long").alias("seq"), phrase.alias("phrase"))
-    known = F.concat(*(F.transform(F.regexp_extract_all(seg, F.lit(p), 0), lambda x, i, k=k: item(0, F.lit(k * 1_000_000) + i, x)) for k, p in enumerate(KNOWN)))
+    matches = lambda k, p: F.transform(F.regexp_extract_all(seg, F.lit(p), 0), lambda x, i: item(0, F.lit(k * 1_000_000) + i, x))
+    known = F.concat(*(matches(k, p) for k, p in enumerate(KNOWN)))
     cues = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(t, i).rlike(PRODUCT_CUE))
 
     def around(i: Column) -> Column:
