@@ -105,8 +105,10 @@ def composed(c: Column) -> Column:
 def recognised_line(c: Column) -> Column:
     """A recognised line without noise: control, CJK, kana, Hangul and pictograph characters and stray symbols become
     spaces; slashes and hyphens close up; ``50 +`` at a word's end becomes ``50+`` and ``K2+D3`` becomes ``K2 + D3``."""
-    s = null_to_empty(c)
-    s = composed(s)
+    return _without_noise(composed(null_to_empty(c)))
+
+
+def _without_noise(s: Column) -> Column:
     s = F.regexp_replace(s, r"[\p{C}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{1F300}-\x{1FAFF}]", " ")
     s = F.regexp_replace(s, r"[^\p{L}\p{N}\s +\-/%.,:&()\[\]   -     　]", " ")
     s = clean(s)
@@ -118,5 +120,5 @@ def recognised_line(c: Column) -> Column:
 
 def recognised_text(c: Column) -> Column:
     """The cleaned lines of a block, each once whatever its case, joined by spaces."""
-    lines = F.split(F.translate(null_to_empty(c), "\r", "\n"), "\n")
-    return F.array_join(first_of_each(F.transform(lines, recognised_line), F.lower), " ")
+    lines = F.split(F.translate(composed(null_to_empty(c)), "\r", "\n"), "\n")
+    return F.array_join(first_of_each(F.transform(lines, _without_noise), F.lower), " ")
