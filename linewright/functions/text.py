@@ -120,5 +120,6 @@ def _without_noise(s: Column) -> Column:
 
 def recognised_text(c: Column) -> Column:
     """The cleaned lines of a block, each once whatever its case, joined by spaces."""
-    lines = F.split(F.translate(composed(null_to_empty(c)), "\r", "\n"), "\n")
-    return F.array_join(first_of_each(F.transform(lines, _without_noise), F.lower), " ")
+    by_line = lambda t: F.transform(F.split(F.translate(t, "\r", "\n"), "\n"), _without_noise)
+    # a lambda of one element: the Python step stays outside, as lambdas may not hold it
+    return F.get(F.transform(F.array(composed(null_to_empty(c))), lambda t: F.array_join(first_of_each(by_line(t), F.lower), " ")), F.lit(0))
