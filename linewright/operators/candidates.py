@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import number, text_features
-from .lines import CROPS, crop_lines, first_by, joined_text, merged_lines, policy_lines
+from .lines import CROPS, crop_lines, first_by, joined_places, marked_lines, merged_lines, policy_lines
 
 CATEGORICAL = ["candidate_name", "candidate_type", "source_variant"]
 NUMERIC = [
@@ -25,23 +25,24 @@ def candidates(lines: DataFrame, key: str, merges: bool = False, crops=CROPS) ->
 
     ``lines``: key, line_idx, ord, line_text, line_score, area_ratio.
     """
-    cropped = crop_lines(lines, key, crops)
-    whole = joined_text(cropped, [key, "variant"])
+    slim, texts = marked_lines(lines, key)
+    cropped = crop_lines(slim, key, crops)
+    whole = joined_places(cropped, [key, "variant"])
     names = F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), F.lit(k).alias("variant_ord")) for k, (n, *_) in enumerate(crops))))
-    every = lines.select(key).distinct().withColumn("_v", names).select(key, "_v.variant", "_v.variant_ord")
-    filled = {"ocr_text": "", "num_lines": 0, "avg_line_score": 0.0, "median_line_score": 0.0, "avg_area_ratio": 0.0}
-    whole = every.join(whole, [key, "variant"], "left").na.fill(filled).withColumns({"candidate_name": F.concat(F.lit("variant::"), "variant"), "candidate_type": F.lit("existing_variant"), "cand_ord": F.col("variant_ord") * 100})
-    policies = joined_text(policy_lines(cropped, [key, "variant", "variant_ord"]), [key, "variant", "variant_ord", "policy", "policy_ord"]).where("ocr_text != ''")
+    every = texts.select(key).withColumn("_v", names).select(key, "_v.variant", "_v.variant_ord")
+    whole = every.join(whole, [key, "variant"], "left").na.fill({"num_lines": 0, "avg_line_score": 0.0, "median_line_score": 0.0, "avg_area_ratio": 0.0}).withColumns({"candidate_name": F.concat(F.lit("variant::"), "variant"), "candidate_type": F.lit("existing_variant"), "cand_ord": F.col("variant_ord") * 100})
+    policies = joined_places(policy_lines(cropped, [key, "variant", "variant_ord"]), [key, "variant", "variant_ord", "policy", "policy_ord"]).where(F.size("places") > 0)
     policies = policies.withColumns({"candidate_name": F.concat(F.lit("line::"), "variant", F.lit("::"), "policy"), "candidate_type": F.lit("single_variant_line_policy"), "cand_ord": F.col("variant_ord") * 100 + F.col("policy_ord") + 1})
     out = [whole, policies]
     if merges:
-        merged = joined_text(merged_lines(cropped, key), [key, "merge"]).withColumnRenamed("merge", "variant")
+        merged = joined_places(merged_lines(cropped, key), [key, "merge"]).withColumnRenamed("merge", "variant")
         out.append(merged.withColumns({"candidate_name": F.concat(F.lit("merge::"), "variant", F.lit("::score_ge_085")), "candidate_type": F.lit("merged_line_policy"), "cand_ord": F.lit(10_000)}))
-    shown = [key, "candidate_name", "candidate_type", F.col("variant").alias("source_variant"), F.col("cand_ord").cast("int").alias("cand_ord"), "ocr_text", "num_lines", "avg_line_score", "median_line_score", "avg_area_ratio"]
+    shown = [key, "candidate_name", "candidate_type", F.col("variant").alias("source_variant"), F.col("cand_ord").cast("int").alias("cand_ord"), "places", "num_lines", "avg_line_score", "median_line_score", "avg_area_ratio"]
     united = out[0].select(*shown)
     for more in out[1:]:
         united = united.unionByName(more.select(*shown))
-    return united
+    text = F.coalesce(F.array_join(F.transform("places", lambda i: F.get("_texts", i)), " "), F.lit(""))
+    return united.join(texts, key).withColumn("ocr_text", text).drop("places", "_texts")
 
 
 def relative_to_raw(df: DataFrame, key: str, is_raw: Column, profile: str = "live") -> DataFrame:

@@ -39,6 +39,32 @@ def joined_text(lines: DataFrame, keys: list[str], text: str = "line_text", orde
     )
 
 
+def marked_lines(lines: DataFrame, key: str, order: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """Lines without their texts, and each item's texts as one array.
+
+    A line keeps its place in the array, the place of the first line with the same text whatever its case (null if
+    blank), and whether it has accents or is long: what crops and policies multiply are numbers, not texts.
+    """
+    by = Window.partitionBy(key)
+    shown = lines.repartition(key).withColumn("_text", clean(F.col("line_text"))).withColumn("place", F.row_number().over(by.orderBy(order)) - 1)
+    shown = shown.withColumn("same", F.when(F.col("_text") != "", F.min("place").over(Window.partitionBy(key, F.lower("_text")))))
+    slim = shown.select(key, "line_idx", order, "place", "same", "line_score", "area_ratio", F.col("line_text").rlike(f"[{ACCENTS}]").alias("accented"), (F.length("_text") >= 8).alias("long"))
+    texts = shown.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "_text"))), lambda x: x["_text"]).alias("_texts"))
+    return slim, texts
+
+
+def joined_places(lines: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
+    """Like ``joined_text`` over marked lines: the places of the texts instead of the texts."""
+    first = F.row_number().over(Window.partitionBy(*keys, "same").orderBy(order))
+    once = lines.repartition(*keys).withColumn("_first", first)
+    area = F.col("area_ratio")
+    return once.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.when((F.col("_first") == 1) & F.col("same").isNotNull(), F.struct(order, "place")))), lambda x: x["place"]).alias("places"),
+        F.count("same").alias("num_lines"), F.coalesce(F.avg("line_score"), F.lit(0.0)).alias("avg_line_score"),
+        F.coalesce(F.median("line_score"), F.lit(0.0)).alias("median_line_score"), F.coalesce(F.avg(F.when(area > 0, area)), F.lit(0.0)).alias("avg_area_ratio"),
+    )
+
+
 def crop_lines(lines: DataFrame, key: str, crops=CROPS) -> DataFrame:
     """A row for each line and crop that shows it: a crop shows a line whose middle lies within its share of the lines."""
     table = F.array(*(F.struct(F.lit(n).alias("variant"), F.lit(k).alias("variant_ord"), F.lit(a).alias("y1"), F.lit(b).alias("y2")) for k, (n, a, b, _) in enumerate(crops)))
@@ -59,8 +85,8 @@ def policy_lines(lines: DataFrame, keys: list[str], order: str = "ord") -> DataF
     score = F.coalesce("line_score", F.lit(0.0))
     several = F.col("_n") >= 2
     held = {
-        "all_clean": F.lit(True), "score_ge_07": score >= 0.70, "score_ge_085": score >= 0.85, "with_accent": F.col("line_text").rlike(f"[{ACCENTS}]"),
-        "long_lines": F.length(clean(F.col("line_text"))) >= 8, "top5_area": several & (F.col("_rank") <= 5),
+        "all_clean": F.lit(True), "score_ge_07": score >= 0.70, "score_ge_085": score >= 0.85, "with_accent": F.col("accented") if "accented" in lines.columns else F.col("line_text").rlike(f"[{ACCENTS}]"),
+        "long_lines": F.col("long") if "long" in lines.columns else F.length(clean(F.col("line_text"))) >= 8, "top5_area": several & (F.col("_rank") <= 5),
         "area_ge_q50": several & F.col("_any") & (area >= F.col("_q")[0]), "area_ge_q65": several & F.col("_any") & (area >= F.col("_q")[1]),
     }
     names = F.array_compact(F.array(*(F.when(held[p], F.struct(F.lit(p).alias("policy"), F.lit(k).alias("policy_ord"), (F.col("_rank") if p == "top5_area" else F.col(order)).cast("long").alias("ord"))) for k, p in enumerate(POLICIES))))
