@@ -1,0 +1,41 @@
+import random
+
+from linewright.llm.line_dedup import dedup_lines, normal_lines
+
+from .test_line_dedup import SCHEMA, distance
+
+
+def texts(spark, docs):
+    return {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame([(d, t, 1, 2, "x", 3) for d, t in docs], SCHEMA), keep=("doc_id",), by_bands=True).collect()}
+
+
+def test_planted_repeats_near_the_limit(spark):
+    rng = random.Random(31)
+    docs, planted = [], 0
+    for k in range(300):
+        own = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 7))) for _ in range(rng.choice((6, 12, 25, 50)))]
+        other, at, size = list(own), rng.randrange(len(own)), len(" ".join(own))
+        other[at] = "".join(rng.choices("qrstuvwxyz", k=len(own[at])))
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+        planted += 1 - distance(docs[-1][1], docs[-2][1]) / size >= 0.8
+    got = texts(spark, docs)
+    found = sum(got[2 * k + 1] == "" for k in range(300))
+    assert planted > 200 and 0.97 * planted <= found <= planted
+    assert all(got[2 * k] for k in range(300))
+
+
+def test_large_family_and_what_is_unlike_it(spark):
+    rng = random.Random(32)
+    base = [f"word{k}" for k in range(40)]
+    docs = []
+    for k in range(120):  # more lines than a band takes pairwise
+        own = list(base)
+        own[rng.randrange(40)] = f"other{k}"
+        docs.append((k, " ".join(own)))
+    docs.append((500, " ".join(base[:20] + [f"new{k}" for k in range(20)])))
+    got = texts(spark, docs)
+    assert got[0] == docs[0][1] and got[500] == docs[-1][1] and sum(t != "" for t in got.values()) == 2
+
+
+def test_empty(spark):
+    assert dedup_lines(spark.createDataFrame([], SCHEMA), by_bands=True).count() == 0 and normal_lines("") == [[]]
