@@ -9,6 +9,12 @@ def texts(spark, docs):
     return {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame([(d, t, 1, 2, "x", 3) for d, t in docs], SCHEMA), keep=("doc_id",), by_bands=True).collect()}
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    paragraph = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(120))
+    docs = [(1, "Read more\nHome\n\n"), (2, "read MORE!\nNews\n\nHome"), (3, paragraph), (4, paragraph + "\nother"), (5, paragraph[:60] + "\u4e8c" + paragraph[61:]), (6, None), (7, "abcd"), (8, "abce")]
+    assert texts(spark, docs) == {1: "Read more\nHome\n\n", 2: "News\n", 3: paragraph, 4: "other", 5: "", 6: None, 7: "abcd", 8: "abce"}
+
+
 def test_planted_repeats_near_the_limit(spark):
     rng = random.Random(31)
     docs, planted = [], 0
