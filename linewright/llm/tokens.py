@@ -4,11 +4,17 @@ The pre-tokenizer never joins across certain places: before a single space betwe
 single line end between two. Texts are cut there; the pieces are told apart by 128 bits of hash; those not met before are
 encoded together in one string, and ids are gathered back. Ids equal those of encoding every text by itself. What has been
 encoded stays in a table of fixed size, where newer pieces replace older ones; that bounds memory and changes no result.
+
+Added tokens of the vocabulary's JSON file, such as <|endoftext|>, are cut out of the texts first and get their own ids, as
+the tokenizers library does; what lies between them is encoded by itself.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,15 @@ def byte_bpe(path: str):
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Contents and ids of the added tokens in the JSON file beside a ``.tiktoken`` file; none where there is no such file."""
+    beside = path.removesuffix(".tiktoken") + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, nulls as empty, and where each text begins (one more for the end)."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -52,6 +67,8 @@ class BatchTokenizer:
         self.offset, self.count = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
         self.scratch, self.pool = np.zeros(1 << bits, np.int64), np.zeros(1 << 20, np.uint32)
         self.encoding, self.token_bytes = byte_bpe(path or tokenizer_path())
+        self.added = added_tokens(path or tokenizer_path())
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         lead = np.zeros(256, bool)
         lead[0x21:0x7F] = lead[0xC3:0xE0] = True  # visible ASCII; two-byte characters beyond U+00BF
         self.starts_plain = lead
@@ -70,6 +87,29 @@ class BatchTokenizer:
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (uint32), and where each text's begin (one more for the end)."""
         flat, at = text_bytes(column)
+        if self.cut:
+            raw = flat.tobytes()
+            if any(t.encode() in raw for t in self.added):
+                return self._ids_between(column)
+        return self._plain_ids(flat, at)
+
+    def _ids_between(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.cut.split(t or "") for t in column.to_pylist()]  # plain, added, plain, ..., plain
+        flat, at = self._plain_ids(*text_bytes(pa.array([x for p in parts for x in p[::2]], pa.large_string())))
+        out, sizes, k = [], [], 0
+        for p in parts:
+            own = []
+            for j, x in enumerate(p):
+                if j % 2:
+                    own.append(np.array([self.added[x]], np.uint32))
+                else:
+                    own.append(flat[at[k] : at[k + 1]])
+                    k += 1
+            out += own
+            sizes.append(sum(map(len, own)))
+        return np.concatenate(out).astype(np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _plain_ids(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(flat)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
