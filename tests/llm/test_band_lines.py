@@ -1,6 +1,6 @@
 import random
 
-from linewright.llm.line_dedup import dedup_lines, normal_lines
+from linewright.llm.line_dedup import _may_be_near, dedup_lines, normal_lines
 
 from .test_line_dedup import SCHEMA, distance
 
@@ -43,5 +43,20 @@ def test_large_family_and_what_is_unlike_it(spark):
     assert got[0] == docs[0][1] and got[500] == docs[-1][1] and sum(t != "" for t in got.values()) == 2
 
 
+def test_shared_runs_never_rule_out_a_near_pair():
+    rng, ruled = random.Random(33), 0
+    for _ in range(3000):
+        x = "".join(rng.choices("abcd", k=rng.randint(0, 30)))
+        y = list(x)
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randint(0, len(y))
+            y[at : at + rng.randint(0, 1)] = rng.choices("abcd", k=rng.randint(0, 1))
+        y, most = "".join(y), rng.randint(0, 6)
+        may = _may_be_near(x, y, most)
+        assert may or distance(x, y) > most
+        ruled += not may
+    assert ruled > 200
+
+
 def test_empty(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA), by_bands=True).count() == 0 and normal_lines("") == [[]]
