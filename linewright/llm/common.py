@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,10 +38,12 @@ def words(text: str) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a local one only where it names none."""
+    """The folder that all executors share, as the session names it; a local one only where it names none and all runs in one process."""
     for conf in (lambda: spark.conf.get("spark.checkpoint.dir", None), lambda: spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         if found := conf():
             return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='linewright-')}"
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -73,6 +76,22 @@ def stored(df: DataFrame, keep: bool = True) -> DataFrame:
     return out
 
 
+def keep_until_exit(df: DataFrame) -> None:
+    atexit.register(_at_exit, df.sparkSession, df._stored_at)
+
+
+def join_hot(rows: DataFrame, dims: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``dims``: one row for each key, whose ``n`` (dropped) says how many of about ``total`` rows have it.
+
+    Keys with over a thousandth of the rows are joined by a broadcast: as ``n`` adds up to at most 2 * ``total``, they are
+    2,000 at most, whatever the data, so ``dims`` should hold numbers only. All other keys are shuffled.
+    """
+    often = F.col("n") > F.lit(max(100, total // 1000))
+    heavy = F.broadcast(dims.where(often).drop("n"))
+    light = rows.join(heavy.select(key), key, "left_anti").join(dims.where(~often).drop("n"), key)
+    return light.unionByName(rows.join(heavy, key))
+
+
 def drop_stored(df: DataFrame) -> None:
     if path := getattr(df, "_stored_at", None):
         forget(df.sparkSession, path)
