@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII bytes that are neither letters nor digits become spaces, A-Z become a-z; bytes of other characters stay.
 WORD_BYTES = bytes(c if c >= 128 or chr(c).isalnum() and not chr(c).isupper() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 
+_WORD_TABLE = np.frombuffer(WORD_BYTES, np.uint8)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,6 +41,68 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string column, nulls as empty, and where each text begins (one more for the end)."""
+    column = column.cast(pa.large_string()).fill_null("")
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return flat, at - at[0]
+
+
+_CHUNK = 1 << 20  # bytes of text that are hashed at once
+_BASE = 0x9E3779B97F4A7C15
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """_BASE ** k and its inverse, modulo 2 ** 64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        with np.errstate(over="ignore"):
+            out.append(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * _CHUNK, base, np.uint64), dtype=np.uint64)]))
+    return tuple(out)
+
+
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (as ``words`` gives them) of a string column, in order, and how many each text has.
+
+    A word's hash is a polynomial of its bytes, taken from running sums over all texts at once, and then mixed.
+    """
+    flat, at = text_bytes(column)
+    norm = _WORD_TABLE[flat]
+    inside = norm != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = at[:-1][(at[:-1] < at[1:])]
+    begins[first] = inside[first]  # words do not go on from one text to the next
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    last = at[1:][(at[:-1] < at[1:])] - 1
+    ends[last] = inside[last]
+    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    counts = np.diff(np.searchsorted(start, at))
+    up, down = _powers()
+    out = np.empty(len(start), np.uint64)
+    k = 0
+    while k < len(start):
+        end = max(k + 1, int(np.searchsorted(stop, start[k] + _CHUNK, side="right")))
+        low, high = int(start[k]), int(stop[end - 1])
+        if high - low > 2 * _CHUNK:  # a single endless word
+            from xxhash import xxh64_intdigest
+
+            out[k] = xxh64_intdigest(norm[low:high].tobytes())
+        else:
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((norm[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
+            out[k:end] = (sums[stop[k:end] - low] - sums[start[k:end] - low]) * down[start[k:end] - low]
+        k = end
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(29)
+    return out, counts
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it; a local one only where it names none and all runs in one process."""
     for conf in (lambda: spark.conf.get("spark.checkpoint.dir", None), lambda: spark.sparkContext.getConf().get("spark.checkpoint.dir")):

@@ -1,24 +1,26 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-``build_index`` turns the training documents into blocks of about a million words; each block is one row with the postings
-of its words: for every term the sorted places (document, position) where it stands. A test set's terms are looked up in
-it, so terms that no test item uses need no postings. ``search`` takes every window of consecutive item words, starts from
-its rarest term in the block, and intersects the offset-adjusted lists of the other terms, rarer ones first: what is left
-are the exact occurrences. Proximity matches are places around a rarest term where all terms of a window stand within a
-span of its length plus ``slop`` words, in any order.
-
-Test sets are broadcast in slices of at most ``slice_chars`` characters of text, one after the other, so that what is sent
-has a fixed bound; spans found by several slices are merged by document.
-
-Words are lower-cased runs of ASCII letters and digits and of all characters beyond ASCII. Null texts have no words. An
-item with fewer words than a window is one window; an item without words is none. Rows that repeat an item_id are one item
-with the windows of all; a null item_id appears as the string ``null``. Documents that repeat are answered each; an empty
-table gives no rows, an empty test set only zeros. Long documents are indexed whole; other columns are not read.
+``build_index`` turns the training documents into blocks of about a million words and stores them, once, in the shared
+folder: each block is one row with the postings of all its words, sorted by term: where each stands, ascending. The index is
+cut by documents, so that all lists of a document meet without a shuffle, and a block holds whole documents. ``search`` looks
+the terms of a test set up in every block. For each window of consecutive item words it starts from the rarest term in the
+block, and intersects the offset-adjusted lists of the other terms, rarer ones first: what is left are the exact
+occurrences. Proximity matches are places around a rarest term where all terms of a window stand within a span of its length
+plus ``slop`` words, in any order.
+
+Test sets are read and broadcast in slices of at most ``slice_chars`` characters of text, one after the other, so that what
+the driver holds and sends has a fixed bound (a single longer item is a slice of its own); what several slices find is
+stored and merged by the number of the document's row in the index.
+
+Words are lower-cased runs of ASCII letters and digits and of all characters beyond ASCII; terms are 64-bit hashes of them.
+Null texts have no words. An item with fewer words than a window is one window; an item without words is none. Rows that
+repeat an item_id are one item with the windows of all; a null item_id appears as the string ``null``. Documents that repeat
+are answered each; an empty table gives no rows, an empty test set only zeros. Long documents are indexed whole; other columns
+are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,56 +29,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, stored, table, words
+from .common import hashed_words, pick, slices, stored, table
 
-INDEX_SCHEMA = "block string, doc_id array<long>, n_words array<long>, term array<int>, ends array<long>, place binary"
-_DOC = np.int64(1) << np.int64(32)  # a place is row * _DOC + position
+INDEX_SCHEMA = "block string, doc_id array<long>, th array<long>, n_words array<long>, terms binary, ends binary, places binary"
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], block_words: int = 1 << 20) -> DataFrame:
-    """One row for each block of documents, with the postings of ``terms`` (word -> number)."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+def build_index(docs: DataFrame, block_words: int = 1 << 20) -> DataFrame:
+    """One row for each block of documents: their ids, hashes of their texts and numbers of words; and the postings.
+
+    ``terms`` are sorted hashes, ``ends`` says where each one's postings end, ``places`` are word positions in the block, with one
+    free position after each document.
+    """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        get, task, count = sent.value.get, TaskContext.get(), 0
-        ids: list = []
-        lengths: list[int] = []
-        numbers: list[np.ndarray] = []
+        task, count, held_words = TaskContext.get(), 0, 0
+        held: list[tuple] = []  # ids, text hashes, numbers of words, words of some documents
 
         def block() -> pa.RecordBatch:
             nonlocal count
-            term = np.concatenate(numbers)
-            length = np.array(lengths, np.int64)
-            row = np.repeat(np.arange(len(length)), length)
-            place = row * _DOC + np.arange(len(term)) - np.repeat(np.cumsum(length) - length, length)
-            known = np.flatnonzero(term >= 0)
-            known = known[np.argsort(term[known], kind="stable")]
-            held, begins = np.unique(term[known], return_index=True)
-            ends = np.append(begins[1:], len(known)).astype(np.int64)
-            values = [[f"{task.partitionId()}-{count}"], [list(ids)], [length], [held.astype(np.int32)], [ends], [place[known].tobytes()]]
-            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+            ids, hashes = (pa.concat_arrays([h[k] for h in held]) for k in (0, 1))
+            length, word = (np.concatenate([h[k] for h in held]) for k in (2, 3))
+            place = np.arange(len(word), dtype=np.uint32) + np.repeat(np.arange(len(length), dtype=np.uint32), length)
+            order = np.argsort(word, kind="stable")
+            word = word[order]
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+            ends = np.append(first[1:], len(word)).astype(np.uint32) if len(word) else np.zeros(0, np.uint32)
+            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            arrays = [pa.array([f"{task.partitionId()}-{count}"]), one(ids), one(hashes), one(pa.array(length.astype(np.int64)))]
+            arrays += [pa.array([x.tobytes()], pa.binary()) for x in (word[first], ends, place[order])]
             count += 1
-            for x in (ids, lengths, numbers):
-                x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["block", "doc_id", "n_words", "term", "ends", "place"])
-
-        held_words = 0
-        for batch in slices(batches, "text"):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = [get(w, -1) for w in words(text or "")]
-                ids.append(doc)
-                lengths.append(len(found))
-                numbers.append(np.array(found, np.int32))
-                held_words += len(found) + 8
-                if held_words >= block_words:
-                    yield block()
-                    held_words = 0
-        if ids:
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["block", "doc_id", "th", "n_words", "terms", "ends", "places"])
+
+        for batch in slices(batches, "text", 4 << 20):
+            found, length = hashed_words(batch.column("text"))
+            held.append((batch.column("doc_id"), batch.column("th"), length, found))
+            held_words += len(found) + 8 * len(length)
+            if held_words >= block_words:
+                yield block()
+                held_words = 0
+        if held:
             yield block()
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(index, INDEX_SCHEMA)
+    rows = pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(index, INDEX_SCHEMA)
 
 
 def _among(places: np.ndarray, postings: np.ndarray) -> np.ndarray:
@@ -85,78 +83,89 @@ def _among(places: np.ndarray, postings: np.ndarray) -> np.ndarray:
 
 
 class TestWindows:
-    """The windows of a slice of a test set, as term numbers."""
+    """The windows of a slice of a test set, as hashes of their words."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], terms: dict[bytes, int], width: int):
+    def __init__(self, items: list[tuple[str, str]], width: int):
         self.width, seen = width, {}
         self.items: list[list[str]] = []
-        for item, found in items:
-            numbers = [terms[w] for w in found]
-            for at in range(max(1, len(numbers) - width + 1)):
-                key = tuple(numbers[at : at + width])
+        found, counts = hashed_words(pa.array([text for _, text in items], pa.string()))
+        self.terms, number = np.unique(found, return_inverse=True)
+        stop = np.cumsum(counts)
+        for (item, _), a, b in zip(items, stop - counts, stop):
+            for at in range(a, max(a + 1, b - width + 1)):
+                key = number[at : min(at + width, b)].tobytes()
                 if key:
                     k = seen.setdefault(key, len(self.items))
                     if k == len(self.items):
                         self.items.append([])
                     if item not in self.items[k]:
                         self.items[k].append(item)
-        self.windows = [np.array(k, np.int64) for k in seen]
-        self.size = max((len(terms), 1))
-        self.padded = np.full((len(self.windows), width), -1, np.int64)
+        self.windows = [np.frombuffer(k, number.dtype) for k in seen]
+        self.padded = np.full((len(self.windows), width), len(self.terms), np.int64)
         for k, w in enumerate(self.windows):
             self.padded[k, : len(w)] = w
 
-    def search(self, term: np.ndarray, ends: np.ndarray, place: np.ndarray, slop: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each window with a match: its number, exact starts, and places of proximity matches."""
-        if not len(self.windows) or not len(term):
+    def search(self, terms: np.ndarray, ends: np.ndarray, places: np.ndarray, starts: np.ndarray, slop: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each window with a match in a block: its number, exact starts, and places of proximity matches.
+
+        ``starts`` are the positions where the block's documents begin.
+        """
+        if not len(self.windows) or not len(terms):
             return
-        held = np.zeros(self.size + 1, np.int64)  # postings of each term; the last stands for no term
-        held[term] = np.diff(ends, prepend=0)
-        begin = np.zeros(self.size + 1, np.int64)
-        begin[term] = ends - held[term]
-        held[-1] = np.iinfo(np.int64).max
+        at = np.minimum(np.searchsorted(terms, self.terms), len(terms) - 1)
+        there = terms[at] == self.terms
+        begin = np.append(np.where(there, np.where(at > 0, ends[at - 1], 0), 0), 0).astype(np.int64)
+        held = np.append(np.where(there, ends[at].astype(np.int64) - begin[:-1], 0), np.iinfo(np.int64).max)  # the last stands for no term
         counts = held[self.padded]
+        lists_of: dict[int, np.ndarray] = {}  # terms of the test set stand in many windows
+
+        def postings(t: int) -> np.ndarray:
+            if t not in lists_of:
+                lists_of[t] = places[begin[t] : begin[t] + held[t]].astype(np.int64)
+            return lists_of[t]
+
         for k in np.flatnonzero(counts.min(axis=1) > 0):
             window = self.windows[k]
             order = np.argsort(counts[k, : len(window)], kind="stable")  # the rarest term leads
-            lists = [place[begin[t] : begin[t] + held[t]] for t in window[order]]
+            lists = [postings(int(t)) for t in window[order]]
             start = lists[0] - order[0]
-            if order[0]:
-                start = start[(lists[0] & (_DOC - 1)) >= order[0]]
-            for at, postings in zip(order[1:], lists[1:]):
+            for at, more in zip(order[1:], lists[1:]):
                 if not len(start):
                     break
-                start = start[_among(start + at, postings)]
+                start = start[_among(start + at, more)]
             near = lists[0][:0]
             if slop is not None:
                 near, reach = lists[0], len(window) + slop
-                for postings in lists[1:]:
+                for more in lists[1:]:
                     if not len(near):
                         break
-                    at = np.searchsorted(postings, near - reach + 1)
-                    near = near[(at < len(postings)) & (postings[np.minimum(at, len(postings) - 1)] < near + reach)]
-                near = self._within(near, lists, reach)
+                    at = np.searchsorted(more, near - reach + 1)
+                    near = near[(at < len(more)) & (more[np.minimum(at, len(more) - 1)] < near + reach)]
+                near = self._within(near, lists, reach, starts)
             if len(start) or len(near):
                 yield int(k), start, near
 
     @staticmethod
-    def _within(near: np.ndarray, lists: list[np.ndarray], reach: int) -> np.ndarray:
-        """Those anchors for which some span of ``reach`` words around them holds every term of the window."""
+    def _within(near: np.ndarray, lists: list[np.ndarray], reach: int, starts: np.ndarray) -> np.ndarray:
+        """Those anchors for which some span of ``reach`` words of their document holds every term of the window."""
         kept = []
         for anchor in near:
-            close = [p[np.searchsorted(p, anchor - reach + 1) : np.searchsorted(p, anchor + reach)] for p in lists]
+            row = np.searchsorted(starts, anchor, side="right")
+            low = max(anchor - reach + 1, starts[row - 1])
+            high = min(anchor + reach, starts[row] - 1 if row < len(starts) else anchor + reach)
+            close = [p[np.searchsorted(p, low) : np.searchsorted(p, high)] for p in lists]
             begins = np.unique(np.concatenate(close))
             begins = begins[(begins <= anchor) & (begins > anchor - reach)]
             fits = np.ones(len(begins), bool)
             for p in close:
                 at = np.searchsorted(p, begins)
-                fits &= (at < len(p)) & (p[np.minimum(at, len(p) - 1)] < begins + reach)
+                fits &= (p[np.minimum(at, len(p) - 1)] < begins + reach) & (at < len(p)) if len(p) else False
             if fits.any():
                 kept.append(anchor)
         return np.array(kept, np.int64)
 
 
-HIT_SCHEMA = "block string, row int, doc_id long, n_words long, spans array<long>, items array<string>, near_items array<string>"
+HIT_SCHEMA = "block string, row int, doc_id long, th long, n_words long, spans array<long>, items array<string>, near_items array<string>"
 
 
 def _merged(starts: np.ndarray, stops: np.ndarray) -> list[int]:
@@ -168,72 +177,77 @@ def _merged(starts: np.ndarray, stops: np.ndarray) -> list[int]:
     return np.column_stack([starts[new], stops[lasts]]).ravel().tolist()
 
 
-def search_slice(index: DataFrame, items: list[tuple[str, list[bytes]]], terms: dict[bytes, int], width: int, slop: int | None) -> DataFrame:
+def search_slice(index: DataFrame, tests: TestWindows, slop: int | None) -> DataFrame:
     """A row for every document of the index: hit spans, items with exact and with proximity matches."""
-    sent = index.sparkSession.sparkContext.broadcast(TestWindows(items, terms, width))
+    sent = index.sparkSession.sparkContext.broadcast(tests)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = sent.value
         for batch in batches:
             for k in range(batch.num_rows):
-                get = lambda c: batch.column(c)[k].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                docs, n_words = batch.column("doc_id")[k].values, batch.column("n_words")[k].values
-                place = np.frombuffer(batch.column("place")[k].as_py(), np.int64)
+                raw = lambda c, kind: np.frombuffer(batch.column(c)[k].as_buffer(), kind)  # noqa: B023, E731
+                docs, hashes, n_words = (batch.column(c)[k].values for c in ("doc_id", "th", "n_words"))
+                n = len(docs)
+                starts = np.append(0, np.cumsum(n_words.to_numpy() + 1)[:-1])
                 spans: dict[int, list[tuple[np.ndarray, int]]] = {}
                 exact: dict[int, set] = {}
                 close: dict[int, set] = {}
-                for w, start, near in tests.search(get("term"), get("ends"), place, slop):
-                    row, width_now = start >> 32, len(tests.windows[w])
+                for w, start, near in tests.search(raw("terms", np.uint64), raw("ends", np.uint32), raw("places", np.uint32), starts, slop):
+                    row, width = np.searchsorted(starts, start, side="right") - 1, len(tests.windows[w])
                     for r in np.unique(row).tolist():
-                        spans.setdefault(r, []).append((start[row == r] & (_DOC - 1), width_now))
+                        spans.setdefault(r, []).append((start[row == r] - starts[r], width))
                         exact.setdefault(r, set()).update(tests.items[w])
-                    for r in np.unique(near >> 32).tolist():
+                    for r in np.unique(np.searchsorted(starts, near, side="right") - 1).tolist():
                         close.setdefault(r, set()).update(tests.items[w])
-                n = len(docs)
                 flat = [_merged(np.concatenate([s for s, _ in spans[r]]), np.concatenate([s + w for s, w in spans[r]])) if r in spans else [] for r in range(n)]
                 block = batch.column("block")[k].as_py()
+                names = [pa.array([sorted(d.get(r, ())) for r in range(n)], pa.list_(pa.string())) for d in (exact, close)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * n, pa.string()), pa.array(range(n), pa.int32()), docs, n_words, pa.array(flat, pa.list_(pa.int64())), *(pa.array([sorted(d.get(r, ())) for r in range(n)], pa.list_(pa.string())) for d in (exact, close))],
-                    names=["block", "row", "doc_id", "n_words", "spans", "items", "near_items"],
+                    [pa.array([block] * n, pa.string()), pa.array(range(n), pa.int32()), docs, hashes, n_words, pa.array(flat, pa.list_(pa.int64())), *names],
+                    names=["block", "row", "doc_id", "th", "n_words", "spans", "items", "near_items"],
                 )
 
     return index.mapInArrow(look, HIT_SCHEMA)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, slop: int | None = 4, slice_chars: int = 8 << 20) -> DataFrame:
-    """doc_id, n_words, spans of hit words (flat array of starts and stops), items (exact) and near_items (proximity)."""
-    out, part, size = None, [], 0
-    parts = []
+def _test_slices(items: DataFrame, slice_chars: int) -> Iterator[list[tuple[str, str]]]:
+    part, size = [], 0
     for row in pick(items, item_id="string", text="string").toLocalIterator():  # the test set, not the corpus
-        found = words(row["text"] or "")
-        part.append((row["item_id"] if row["item_id"] is not None else "null", found))
+        part.append((row["item_id"] if row["item_id"] is not None else "null", row["text"] or ""))
         size += len(row["text"] or "")
         if size >= slice_chars:
-            parts.append(part)
+            yield part
             part, size = [], 0
-    parts += [part] if part or not parts else []
-    for part in parts:
-        terms: dict[bytes, int] = {}
-        for _, found in part:
-            for w in found:
-                terms.setdefault(w, len(terms))
-        hits = search_slice(build_index(docs, terms), part, terms, width, slop)
-        hits = stored(hits) if len(parts) > 1 else hits  # in a job of its own: the same scan gives the same blocks
-        out = hits if out is None else out.unionByName(hits)
-    if len(parts) > 1:  # a document's rows: one from each slice
-
-        @F.pandas_udf("array<long>")
-        def merge(spans: pd.Series) -> pd.Series:
-            def one(flats):
-                flat = np.concatenate([np.asarray(x, np.int64) for x in flats] or [np.zeros(0, np.int64)])
-                return _merged(flat[::2], flat[1::2]) if len(flat) else []
-
-            return spans.map(one)
+    if part:
+        yield part
+
 
+def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, slop: int | None = 4, slice_chars: int = 8 << 20) -> DataFrame:
+    """doc_id, th (xxhash64 of the text), n_words, spans of hit words (flat array of starts and stops), items (exact) and near_items (proximity)."""
+    index, out, several = stored(build_index(docs)), None, False
+    for part in _test_slices(items, slice_chars):
+        if out is None:
+            out = search_slice(index, TestWindows(part, width), slop)
+            continue
+        more = stored(search_slice(index, TestWindows(part, width), slop))  # one slice at a time is held and sent
+        out, several = out.unionByName(more), True
+    if out is None:
+        return search_slice(index, TestWindows([], width), slop).select("doc_id", "th", "n_words", "spans", "items", "near_items")
+
+    @F.pandas_udf("array<long>")
+    def merge(spans: pd.Series) -> pd.Series:
+        def one(flats):
+            flat = np.concatenate([np.asarray(x, np.int64) for x in flats] or [np.zeros(0, np.int64)])
+            return _merged(flat[::2], flat[1::2]) if len(flat) else []
+
+        return spans.map(one)
+
+    if several:  # a document's rows: one from each slice
         union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-        out = out.groupBy("block", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), union("items").alias("items"), union("near_items").alias("near_items"))
+        same = [F.first(c).alias(c) for c in ("doc_id", "th", "n_words")]
+        out = out.groupBy("block", "row").agg(*same, F.collect_list("spans").alias("spans"), union("items").alias("items"), union("near_items").alias("near_items"))
         out = out.withColumn("spans", merge("spans"))
-    return out.select("doc_id", "n_words", "spans", "items", "near_items")
+    return out.select("doc_id", "th", "n_words", "spans", "items", "near_items")
 
 
 def contamination_report(hits: DataFrame) -> DataFrame:
@@ -250,20 +264,5 @@ def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return contamination_report(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], width: int = 10) -> list[tuple]:
-    """The same report for a few documents, by comparing every window with every place."""
-    tests = [("null" if i is None else str(i), words(t or "")) for i, t in items]
-    out = []
-    for doc, text in docs:
-        found = words(text or "")
-        hit, names = set(), set()
-        for name, own in tests:
-            for at in range(max(1, len(own) - width + 1)):
-                window = own[at : at + width]
-                for k in range(len(found) - len(window) + 1) if window else ():
-                    if found[k : k + len(window)] == window:
-                        hit.update(range(k, k + len(window)))
-                        names.add(name)
-        joined = ",".join(sorted(names))
-        out.append((doc, len(found), len(hit), len(names), hashlib.sha256(joined.encode()).hexdigest(), bool(hit)))
-    return out
+def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
+    return contamination_report(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))

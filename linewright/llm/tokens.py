@@ -19,6 +19,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from .common import text_bytes
+
 _WORDS = 4  # pieces of up to 8 * _WORDS bytes are shared; longer ones are encoded by themselves
 _SPACE, _LINE = 32, 10
 
@@ -51,15 +53,6 @@ def added_tokens(path: str) -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column, nulls as empty, and where each text begins (one more for the end)."""
-    column = column.cast(pa.large_string()).fill_null("")
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    return flat, at - at[0]
-
-
 class BatchTokenizer:
     def __init__(self, path: str | None = None, bits: int = 20, most: int = 6_000_000):
         self.bits, self.most, self.used = bits, most, 0
