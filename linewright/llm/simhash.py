@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, slices, stored, table
+from .common import join_hot, pick, slices, stored, table
 from .graph import components
 
 SEGMENTS, SEGMENT_BITS = 16, 4
@@ -93,30 +93,39 @@ def close_pairs(fps: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
-def _labels(marked: DataFrame) -> DataFrame:
-    """fp, component (the smallest linked fp) and component_id (the smallest doc_id of the component) of each fingerprint."""
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = components(close_pairs(distinct)).withColumnRenamed("node", "fp")
-    named = linked.join(distinct, "fp")
-    least = named.groupBy("component").agg(F.min("first").alias("least"))
-    named = named.join(least, "component").select("fp", "component", "least")
-    return distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+def _labels(distinct: DataFrame, total: int) -> DataFrame:
+    """fp, component (the smallest linked fp), component_id (the smallest doc_id of the component) and n of each row (fp, first, n)."""
+    linked = stored(components(close_pairs(distinct)).withColumnRenamed("node", "fp").join(distinct, "fp"))
+    least = linked.groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
+    named = join_hot(linked.select("fp", "component"), least, "component", total)
+    return distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"), "n")
+
+
+def _marked(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """doc_id, th, fp, component and component_id of each row."""
+    marked = stored(fingerprints(docs, shingle, seed))
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    total = marked.count()
+    return join_hot(marked, _labels(distinct, total), "fp", total)  # copies of one text share a fingerprint
 
 
 def group_near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable by links of 2 differing bits or fewer."""
-    marked = stored(fingerprints(docs, shingle, seed))
-    return marked.join(_labels(marked), "fp").select("doc_id", "fp", "component_id")
+    return _marked(docs, shingle, seed).select("doc_id", "fp", "component_id")
+
+
+def _rows_named(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``first`` (none, doc_id, th in a struct) names, each once, with whatever columns they have."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    own = docs.select(row.alias("_row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_keep"))
+    once = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))  # rows that repeat another stay once
+    return own.join(first, "_row").withColumn("_once", once).where("_once = 1").select(*(F.col("_keep").getField(c).alias(c) for c in docs.columns))
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the row with the smallest doc_id (null last), then hash of the text."""
-    marked = stored(fingerprints(docs, shingle, seed))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    first = marked.join(_labels(marked), "fp").groupBy("component").agg(F.min(order).alias("_row")).select("_row")
-    own = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th")))
-    once = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))  # rows that repeat another stay once
-    return own.join(first, "_row").withColumn("_once", once).where("_once = 1").select(*docs.columns)
+    return _rows_named(docs, _marked(docs, shingle, seed).groupBy("component").agg(F.min(order).alias("_row")).select("_row"))
 
 
 def bands(hashes: np.ndarray, chunk: int = 2048) -> np.ndarray:
@@ -204,9 +213,7 @@ def one_of_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     distinct = stored(marked.groupBy("id", "fp").agg(F.min(order).alias("first"), F.min("bands").alias("bands")))
     linked = near_copies(distinct, rows, shingle, similarity, radius, seed).withColumnRenamed("node", "id")
     first = distinct.join(linked, "id", "left").groupBy(F.coalesce("component", "id")).agg(F.min("first").alias("_row")).select("_row")
-    own = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th")))
-    once = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))  # rows that repeat another stay once
-    return own.join(first, "_row").withColumn("_once", once).where("_once = 1").select(*docs.columns)
+    return _rows_named(docs, first)
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
