@@ -6,7 +6,8 @@ the leading singular directions of a bounded labelled sample, it becomes a short
 (at most ``2 * per_label`` rows of ``DIMS`` numbers: a fixed bound), and each block of documents takes exact cosine products
 with all of them; the nearest vote with their similarity, corrected for how often each label was drawn.
 
-Null texts count as empty; an empty text has a vector (its length bin) and a score like any other. Without labels every
+Null texts count as empty; an empty text has a vector (its length bin) and a score like any other. A labelled doc_id
+that several rows have teaches with one of their texts, so copies crowd nothing out. Without labels every
 score is 0.5. Labels that are null, or neither 0 nor 1, or without a document, teach nothing; a doc_id labelled more than
 once counts once, with its smallest label. Repeated rows are scored each; ties between neighbours change no score, as all
 of one similarity vote alike or the first in sample order stand. An empty table gives no rows. Texts are read whole.
@@ -138,7 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = 1500
             ids, values = ([a.astype(np.int16).tobytes() for a in held], [x[a].astype(np.float16).tobytes() for x, a in zip(found, held)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "quality", "ids", "vals"])
 
-    found = rows.mapInArrow(extract, "doc_id long, quality int, ids binary, vals binary").orderBy("doc_id", "ids", "vals").limit(4 * per_label).collect()
+    found = rows.mapInArrow(extract, "doc_id long, quality int, ids binary, vals binary")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("quality", "ids", "vals")).alias("row")).select("row.*").orderBy("ids", "vals", "quality").collect()  # one row for each drawn id: 2 * per_label at most
     if not found:
         return None
     x = np.zeros((len(found), FEATURES), np.float32)

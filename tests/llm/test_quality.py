@@ -55,3 +55,35 @@ def test_no_labels_and_no_rows(spark):
 def test_features_of_odd_texts():
     for text in ["", " ", "\n", "é", "!" * 100_000, "\U0010ffff"]:
         assert np.isfinite(features(text)).all()
+
+
+def test_scores_against_brute_force(spark):
+    """Every row's score from its own features, all cosines sorted, and the votes of the nearest; equal neighbours included."""
+    docs, labels = make(150, seed=3)
+    docs += [(1000 + k, docs[0][1], "", "") for k in range(40)] + [(2000, None, "", ""), (2001, "", "", "")]
+    labels += [(1000 + k, k % 2, 0, "") for k in range(40)]
+    d, m = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    voters = fit(d, m, F.lit(True))
+    assert len(voters.labels) == 190
+    for row, (doc, text, _, _) in zip(score(d.coalesce(1), voters).collect(), docs):
+        own = (features(text or "") * voters.weight) @ voters.project
+        own = own / max(1e-12, np.linalg.norm(own))
+        near = sorted(((float(v @ own), float(y), float(w)) for v, y, w in zip(voters.vectors, voters.labels, voters.worth)), reverse=True)
+        kth = near[24][0]
+        above, level = ([x for x in near if (x[0] > kth + 1e-5) == up and x[0] > kth - 1e-5] for up in (True, False))
+        doubt = 1e-3 * voters.worth.mean()
+
+        def voted(found):
+            votes = [np.clip(c, 0, 1) ** voters.sharpness * w for c, _, w in found]
+            return (sum(v * y for v, (_, y, _) in zip(votes, found)) + doubt * voters.prior) / (sum(votes) + doubt)
+
+        assert row["doc_id"] == doc
+        spare = 25 - len(above)  # of those at the last similarity any may vote
+        by_label = sorted(level, key=lambda x: x[1])
+        assert voted(above + by_label[:spare]) - 1e-3 <= row["score"] <= voted(above + by_label[::-1][:spare]) + 1e-3
+
+
+def test_copies_of_a_labelled_row_crowd_nothing_out(spark):
+    docs, labels = make(60, seed=5)
+    voters = fit(spark.createDataFrame(docs + [docs[0]] * 500, DOCS), spark.createDataFrame(labels, LABELS), F.lit(True), per_label=60)
+    assert len(voters.labels) == 60
