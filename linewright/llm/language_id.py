@@ -122,10 +122,14 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], bucke
     return LanguageModel(languages, weights, bias.astype(np.float64), temperature, reject)
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 1000) -> LanguageModel | None:
-    """A model from rows where ``learn`` holds; the sample is drawn by a hash, evenly over all rows of a language."""
+def fit(docs: DataFrame, learn: Column, per_language: int = 1000, languages: int = 200) -> LanguageModel | None:
+    """A model from rows where ``learn`` holds; the sample is drawn by a hash, evenly over all rows of a language.
+
+    It knows the ``languages`` most frequent ones (of equally frequent ones those that sort first), so that what is collected
+    has a fixed bound: 2 * per_language * languages rows, each of a bounded number of counts.
+    """
     rows = pick(docs, doc_id="long", text="string", lang="string").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as languages
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return None
     share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * per_language / n)))))

@@ -48,3 +48,30 @@ def test_counts_see_letters_alone():
     assert bucket_counts("12 .,") is None and bucket_counts("") is None
     assert (bucket_counts("Ab, c!") == bucket_counts("  ab 9 C")).all()
     assert bucket_counts("ab").sum() == 4 + 3 + 2
+
+
+def test_predictions_against_brute_force(spark, rows):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = fit(docs, F.lit(True))
+    for row, text in zip(predict(docs.coalesce(1), model).collect(), [r[1] for r in rows]):
+        counts = bucket_counts(text) if text else None
+        if counts is None:
+            assert (row["lang_pred"], row["score"], row["rejected"]) == ("und", 0.0, True)
+            continue
+        logits = []
+        for k in range(len(model.languages)):
+            mean = sum(counts[b] * model.weights[b, k] for b in np.flatnonzero(counts)) / counts.sum()
+            logits.append((mean + model.bias[k]) / model.temperature)
+        parts = [np.exp(x - max(logits)) for x in logits]
+        best = max(range(len(parts)), key=parts.__getitem__)
+        assert row["lang_pred"] == model.languages[best] and np.isclose(row["score"], parts[best] / sum(parts))
+        assert row["rejected"] == (row["score"] < model.reject_below)
+
+
+def test_ties_go_to_the_first_language_and_rare_ones_are_bounded(spark):
+    rows = [(k, "same words", lang, "") for k, lang in enumerate(["bb", "aa"] * 30 + ["cc"])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = fit(docs, F.lit(True), languages=2)
+    assert model.languages == ["aa", "bb"]
+    model.weights[:], model.bias[:] = 0, 0
+    assert {r["lang_pred"] for r in predict(docs, model).collect()} == {"aa"}
