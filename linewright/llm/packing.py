@@ -2,7 +2,7 @@
 
 Documents become pieces of at most ``capacity`` tokens. Only the histogram of piece lengths reaches the driver: at most
 ``capacity`` numbers, whatever the corpus. There, bin after bin takes the longest length left and the fullest feasible
-company for it, found by subset-sum dynamic programming over the available lengths with big-integer bitsets; that
+company for it (so what one bin holds never fits into what another leaves free), found by subset-sum dynamic programming over the available lengths with big-integer bitsets; that
 combination is applied as often as its lengths last, so the number of different combinations is bounded by
 sum(1 + capacity / length) over the lengths, not by the corpus. A piece finds its place from its rank among the pieces of
 its length, which is counted in salted groups, so that no length has to fit into one task.
