@@ -1,23 +1,31 @@
 """HTML extraction: the article's own text, with a host's repeated runs removed by suffix arrays.
 
-A tolerant scanner cuts a page into blocks. What markup names as menu, header, footer, sidebar, notice, advert, form, script,
-style or reader comment is set aside; so are markup and HTML comments. If the page marks its article (or else its main
-part), those blocks are the text. If it marks none, the rest is its candidate text, and repetition decides: the token
-streams of a host's pages, set-aside blocks included, are concatenated, a suffix array sorts them, neighbours that share at
-least ``min_run`` tokens give the long substrings, those that occur on distinct pages (pages with equal candidate text are
-one) are boilerplate, covered runs are taken out and unique runs stay. A page that would lose everything keeps everything:
-it is a copy, not a template.
-
-Suffix arrays are built over each batch of pages and meet by the hash of their runs' windows, so a host may have any number
-of pages: repeats across batches count like those within, and no host has to fit into one task.
-
-Null html gives an empty text. Pages that repeat are answered each. An empty table gives no rows; other columns are not read.
+A tolerant scanner cuts a page into blocks. Scripts, styles, forms, menus, footers, sidebars and other elements that are
+never part of an article are set aside, and so are block elements whose class or id says nothing but that (``cookie-notice``,
+not ``content-with-sidebar``). If the page marks its article (or else its main part), those blocks are its candidates; if it marks
+none, all that is not set aside.
+
+Then repetition decides, on every page. The token streams of a host's pages are concatenated, a suffix array with the lengths
+of common prefixes gives the maximal runs of ``min_run`` tokens or more that stand on at least ``share`` of the host's distinct
+pages and on ``least`` of them: a template's text, not a passage that some pages quote. Pages with equal or nearly equal
+candidates (one least hash of their token windows) count as one, so copies make no template. Where an article is marked, a
+block that lies in such runs as a whole goes, unless half of the article would; where none is marked, the covered tokens go,
+unless all would. Hosts of fewer than ``least`` distinct pages have no templates.
+
+A host's distinct pages are dealt by their least hash to parts of about ``part_pages``, one array each. A run on ``share`` of
+all pages stands on ``share`` of some part (pigeonhole), so the parts' runs are all that need to be counted over a whole host; that
+is done by windows of ``min_run`` tokens, and exactly. No host has to fit into one task.
+
+Null html gives an empty text; pages without a host share no template. Pages that repeat are answered each, alike. Equal candidates of one least hash are told
+apart by the smaller hash of their blocks. Very long pages are scanned and searched whole. An empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, stored, table
+from .common import join_hot, pick, slices, stored, table
 from .url_filter import url_parts
 
 # Element names of HTML and words that sites use in class and id.
@@ -33,7 +41,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog search fieldset head noscript template button select datalist object video audio canvas map svg math iframe".split())
 RAW_TAGS = frozenset("script style textarea title xmp noembed noframes".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promoted nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar sidenav aside widget widgets related recommended recommendations trending share sharing social comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login search searchbox pagination pager toolbar skip disclaimer copyright form".split())
+ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promoted nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar sidenav widget widgets related recommended recommendations trending share sharing social comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login search searchbox pagination pager toolbar disclaimer copyright".split())
+PLAIN_WORDS = frozenset("box block bar area section container wrapper wrap inner outer list item items link links button buttons site page main top bottom left right primary secondary global user reader post article text form panel slot unit row group".split())
 HEAD_WORDS = frozenset("header masthead topbar".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form note status".split())
 ARTICLE_WORDS = frozenset(("articlebody", "article-body", "post-content", "post-body", "entry-content", "article-content"))
@@ -41,34 +50,53 @@ ARTICLE_WORDS = frozenset(("articlebody", "article-body", "post-content", "post-
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
-SET_ASIDE, OPEN, MAIN, ARTICLE = -1, 0, 1, 2
+#: What holds a block: an element that is never part of an article; one named so by class or id, which may yet hold the article
+#: (WRAPPED; it counts if no other is marked); nothing; the main part; the article.
+NEVER, SET_ASIDE, OPEN, WRAPPED, MAIN, ARTICLE = -2, -1, 0, 1, 2, 3
+
+
+def _says_aside(value: str, words: frozenset) -> bool:
+    """Whether one of the names in a class or id consists of words for what is set aside, and of plain ones."""
+    for name in value.split():
+        found = set(_WORD.findall(name))
+        if found & words and found <= words | PLAIN_WORDS:
+            return True
+    return False
 
 
 def _kind(tag: str, attributes: str, within: int) -> int:
     """What an element makes of its content, given where it stands; ``within`` if it changes nothing."""
-    if tag in ASIDE_TAGS or tag == "header" and within < MAIN:
-        return SET_ASIDE
-    kind = max(within, ARTICLE if tag == "article" else MAIN if tag == "main" else within)
+    if within == NEVER or tag in ASIDE_TAGS or tag == "header" and within in (OPEN, WRAPPED):
+        return NEVER
+    kind = ARTICLE if tag == "article" else MAIN if tag == "main" else within
+    aside = False
     if attributes and "=" in attributes or "hidden" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             name = m[1].lower()
             value = next((v for v in m.groups()[1:] if v is not None), "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return SET_ASIDE
+                return NEVER
             if name == "role":
                 if value in ASIDE_ROLES:
-                    return SET_ASIDE
+                    return NEVER
                 kind = max(kind, {"main": MAIN, "article": ARTICLE}.get(value, kind))
             elif name in ("class", "id"):
                 if not ARTICLE_WORDS.isdisjoint(value.split()):
                     kind = max(kind, ARTICLE)
-                elif tag not in ("html", "body", "article", "main"):
-                    found = set(_WORD.findall(value))
-                    if found & ASIDE_WORDS or within < MAIN and found & HEAD_WORDS:
-                        return SET_ASIDE
+                elif tag in BLOCKS and tag not in ("html", "body", "article", "main"):
+                    if _says_aside(value, ASIDE_WORDS):
+                        if "comment" in value or "repl" in value or "respond" in value or "disqus" in value:
+                            return NEVER  # readers' comments are articles of their own in some pages
+                        aside = True
+                    elif within < MAIN and _says_aside(value, HEAD_WORDS):
+                        aside = True
             elif name == "itemprop" and value == "articlebody":
                 kind = max(kind, ARTICLE)
-    return kind
+    if aside:
+        return SET_ASIDE
+    if within in (SET_ASIDE, WRAPPED):
+        return WRAPPED if kind >= WRAPPED else within
+    return max(kind, within)
 
 
 def page_blocks(page: str) -> list[tuple[int, str]]:
@@ -122,8 +150,8 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
         at = m.end()
         if tag in BLOCKS:
             close()
-        elif tag in ("br", "img", "td", "wbr") and tag != "wbr":
-            held.append(" ") if held else None
+        elif tag in ("br", "img") and held:
+            held.append(" ")
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -135,7 +163,7 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
             stop = page.find(">", end.start()) if end else -1
             at = n if stop < 0 else stop + 1
         elif tag not in VOID_TAGS and not attributes.endswith("/"):
-            new = SET_ASIDE if kind == SET_ASIDE else _kind(tag, attributes, kind)
+            new = _kind(tag, attributes, kind)
             if new != kind or tag in BLOCKS and tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
                 stack.append((tag, kind))
                 kind = new
@@ -143,46 +171,13 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-PARSED_SCHEMA = "page_id long, url string, host string, level int, text string, open array<string>, aside array<string>"
-
-
-def parse(pages: DataFrame) -> DataFrame:
-    """The marked article's text (level 1 or 2), or the candidate blocks (level 0), and what was set aside."""
-    rows = pick(pages, page_id="long", url="string", html="string")
-    host, _ = url_parts(F.col("url"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "html", 8 << 20):
-            levels, texts, opens, asides = [], [], [], []
-            for page in batch.column("html").to_pylist():
-                blocks = page_blocks(page or "")
-                level = max((k for k, _ in blocks), default=OPEN)
-                level = max(level, OPEN)
-                levels.append(level)
-                texts.append("\n".join(t for k, t in blocks if k == level) if level > OPEN else "")
-                opens.append([t for k, t in blocks if k == OPEN] if level == OPEN else [])
-                asides.append([t for k, t in blocks if k < level])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(levels, pa.int32()), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string())), pa.array(asides, pa.list_(pa.string()))], names=["page_id", "url", "host", "level", "text", "open", "aside"])
-
-    return rows.select("page_id", "url", host.alias("host"), "html").mapInArrow(scan, PARSED_SCHEMA)
+PARSED_SCHEMA = "page_id long, url string, host string, marked boolean, blocks array<string>, sig long, content long"
 
 
 def token_hashes(texts: list[str]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return np.fromiter((xxh64_intdigest(w) for t in texts for w in t.split()), np.uint64)
-
-
-def suffix_ranks(stream: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of each suffix by its first ``depth`` tokens (by prefix doubling): equal ranks share a run of that length."""
-    rank = np.unique(stream, return_inverse=True)[1].astype(np.int64)
-    reach = 1
-    while reach < depth:
-        step = min(reach, depth - reach)
-        behind = np.append(rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64))[: len(rank)]
-        rank = np.unique(rank * (len(rank) + 2) + behind, return_inverse=True)[1].astype(np.int64)
-        reach += step
-    return rank
+    return np.fromiter((xxh64_intdigest(w) for t in texts for w in t.split(" ")), np.uint64)
 
 
 def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -195,84 +190,226 @@ def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
     return total.view(np.int64)
 
 
-def host_runs(parsed: DataFrame, min_run: int) -> DataFrame:
-    """(host, run) for every window of ``min_run`` tokens that occurs on distinct pages of a host."""
-    kind = "host string, run long, low long, high long"
+def candidates(page: str) -> tuple[bool, list[str]]:
+    """Whether the page marks its article or main part, and the blocks of it, or else all that are not set aside."""
+    blocks = page_blocks(page)
+    level = max((k for k, _ in blocks if k >= OPEN), default=OPEN)
+    return level > OPEN, [t for k, t in blocks if k == level]
+
+
+def parse(pages: DataFrame) -> DataFrame:
+    """Each page's candidate blocks, a least hash of their token windows (sig) and a hash of them all (content)."""
+    rows = pick(pages, page_id="long", url="string", html="string")
+    host, _ = url_parts(F.col("url"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html", 8 << 20):
+            marks, found, sigs, contents = [], [], [], []
+            for page in batch.column("html").to_pylist():
+                mark, blocks = candidates(page or "")
+                tokens = token_hashes(blocks)
+                windows = window_hashes(tokens, min(4, len(tokens))) if len(tokens) else np.zeros(1, np.int64)
+                marks.append(mark)
+                found.append(blocks)
+                sigs.append(windows.min())
+                contents.append(int(np.bitwise_xor.reduce(windows * np.arange(1, 2 * len(windows) + 1, 2))))
+            columns = [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(marks, pa.bool_()), pa.array(found, pa.list_(pa.string())), pa.array(sigs, pa.int64()), pa.array(contents, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "marked", "blocks", "sig", "content"])
+
+    return rows.select("page_id", "url", host.alias("host"), "html").mapInArrow(scan, PARSED_SCHEMA)
+
+
+def _ranks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Ranks of pairs of numbers (of at least 0)."""
+    return np.unique(first * (int(second.max(initial=0)) + 1) + second, return_inverse=True)[1].astype(np.int64)
+
+
+def _deeper(depth: int, rank: np.ndarray, most: int) -> tuple[int, np.ndarray]:
+    """Ranks by up to twice as many tokens; places beyond the end come first."""
+    step = min(depth, most - depth)
+    behind = np.append(rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64))
+    return depth + step, _ranks(rank, behind)
+
+
+def _pages_of(rank: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """For each suffix, on how many distinct pages those of its rank begin."""
+    pair = np.unique(rank * (int(page.max(initial=0)) + 1) + page)
+    return np.bincount(pair // (int(page.max(initial=0)) + 1), minlength=int(rank.max(initial=-1)) + 1)[rank]
+
+
+def repeated_runs(streams: list[np.ndarray], least: int, min_run: int) -> list[tuple[int, int, int]]:
+    """(page, start, length) of the maximal runs of ``min_run`` tokens or more that stand on ``least`` of the pages, each once.
+
+    The suffix array is sorted by doubling, from 1 to ``min_run`` tokens and on until no run so long is frequent. Suffixes whose
+    first ``min_run`` tokens stand on too few pages begin no run and leave it. The ranks give the common prefixes of neighbours.
+    The least neighbourhoods with suffixes of ``least`` pages, and what a suffix shares with the best of them, say how long a
+    run begins at it; one that goes on from a run further left is not maximal.
+    """
+    size = np.array([len(x) for x in streams], np.int64)
+    page = np.repeat(np.arange(len(streams)), size + 1)  # a free place after each page
+    end = np.cumsum(size + 1)[page] - 1
+    n = len(page)
+    if not n:
+        return []
+    if least < 2:  # whole pages are runs then
+        return [(p, 0, int(k)) for p, k in enumerate(size) if k >= min_run]
+    at = np.arange(n)
+    rank = np.zeros(n, np.int64)
+    rank[at != end] = np.unique(np.concatenate(streams), return_inverse=True)[1] + 1
+    levels = [(1, rank)]  # ranks by so many tokens
+    while levels[-1][0] < min_run:
+        levels.append(_deeper(*levels[-1], min_run))
+    room = end - at  # tokens up to the page's end
+    rank = np.where(room >= min_run, levels[-1][1], -1)
+    alive = np.flatnonzero(room >= min_run)
+    alive = alive[_pages_of(rank[alive], page[alive]) >= least]
+    if not len(alive):
+        return []
+    own = page[alive]
+    while (deep := alive[room[alive] >= levels[-1][0]]).size and (_pages_of(levels[-1][1][deep], page[deep]) >= least).any():
+        levels.append(_deeper(*levels[-1], 2 * levels[-1][0]))
+    order = np.argsort(levels[-1][1][alive], kind="stable")  # the suffix array
+    x, y = alive[order[:-1]], alive[order[1:]]
+    common = np.zeros(len(x), np.int64)
+    for depth, rank in reversed(levels):
+        a, b = np.minimum(x + common, n - 1), np.minimum(y + common, n - 1)
+        common += np.where(rank[a] == rank[b], depth, 0)
+    common = np.minimum(common, np.minimum(room[x], room[y]))
+    best = _best_shared(own[order].tolist(), [0, *common.tolist()], least)
+    shared = np.empty(len(alive), np.int64)
+    shared[order] = best
+    where = np.full(n, -1)
+    where[alive] = np.arange(len(alive))
+    before = where[np.maximum(alive - 1, 0)]
+    outer = np.flatnonzero((alive == 0) | (before < 0) | (shared[before] != shared + 1) | (own[before] != own))
+    begins = np.cumsum(size + 1) - size - 1
+    out: dict[bytes, tuple[int, int, int]] = {}  # runs that are the same count once
+    for p, a, length in zip(own[outer].tolist(), (alive - begins[own])[outer].tolist(), shared[outer].tolist()):
+        out.setdefault(streams[p][a : a + length].tobytes(), (p, a, length))
+    return list(out.values())
+
+
+def _best_shared(pages: list[int], common: list[int], least: int) -> list[int]:
+    """For each suffix, in order, the longest prefix that suffixes of ``least`` pages have; ``common`` with the one before."""
+    n, count, distinct, left = len(pages), {}, 0, 0
+    best = [0] * n
+    lows: deque = deque()  # places of falling minima of common in the neighbourhood, without its first
+    for right in range(n):
+        while lows and common[lows[-1]] >= common[right]:
+            lows.pop()
+        lows.append(right)
+        count[pages[right]] = count.get(pages[right], 0) + 1
+        distinct += count[pages[right]] == 1
+        while distinct >= least:
+            if count[pages[left]] == 1 and distinct == least:  # as small as it gets
+                while lows and lows[0] <= left:
+                    lows.popleft()
+                low = common[lows[0]] if lows else 1 << 60
+                best[right] = max(best[right], low)
+                best[left] = max(best[left], low)
+            count[pages[left]] -= 1
+            distinct -= count[pages[left]] == 0
+            left += 1
+    for k in range(1, n):
+        best[k] = max(best[k], min(best[k - 1], common[k]))
+    for k in range(n - 2, -1, -1):
+        best[k] = max(best[k], min(best[k + 1], common[k + 1]))
+    return best
+
+
+def template_windows(parsed: DataFrame, min_run: int, share: float, least: int, part_pages: int) -> DataFrame:
+    """(host, run) for every window of ``min_run`` tokens in a run that enough of the host's distinct pages hold."""
+    distinct = parsed.where((F.size("blocks") > 0) & (F.col("host") != "")).groupBy("host", "sig").agg(F.min_by("blocks", F.struct("content", "blocks")).alias("blocks"))
+    distinct = stored(distinct)
+    hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    total = distinct.count()
+    parts = hosts.select("host", F.col("n").alias("pages"), F.ceil(F.col("n") / F.lit(part_pages)).cast("int").alias("parts"), "n")
+    dealt = join_hot(distinct, parts, "host", total).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []  # the pages of one part, which follow each other
+        now = None
+
+        def out() -> pa.RecordBatch:
+            host, _, pages, parts = now
+            enough = max(1 if parts > 1 else least, int(np.ceil(share * len(held) - 1e-9)))
+            if parts == 1:
+                enough = max(least, int(np.ceil(share * pages - 1e-9)))
+            streams = [token_hashes(b) for b in held]
+            found = [window_hashes(streams[p][a : a + size], min_run) for p, a, size in repeated_runs(streams, enough, min_run)]
+            found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array([pages] * len(found), pa.int64()), pa.array([parts] * len(found), pa.int32()), pa.array(found)], names=["host", "pages", "parts", "run"])
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_host: dict = {}
-            for host, text, opened, aside in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "open", "aside"))):
-                by_host.setdefault(host, []).append((text, token_hashes(opened), token_hashes(aside)))
-            out: list = []
-            for host, pages in by_host.items():
-                parts, owners, ends = [], [], []
-                for k, (_, opened, aside) in enumerate(pages):  # ends of streams are tokens of their own
-                    for tokens in (opened, aside):
-                        parts += [tokens, np.array([k * 2 + (tokens is aside)], np.uint64)]
-                        owners.append(np.full(len(tokens) + 1, k))
-                        ends.append(np.append(np.zeros(len(tokens), bool), True))
-                stream, owner, end = np.concatenate(parts), np.concatenate(owners), np.concatenate(ends)
-                whole = np.array([p[0] for p in pages], np.int64)[owner]
-                rank = suffix_ranks(stream, min_run)
-                order = np.argsort(rank, kind="stable")  # the suffix array, sorted as deep as runs must share
-                crossed = np.cumsum(end)
-                last = np.minimum(np.arange(len(stream)) + min_run - 1, len(stream) - 1)
-                inside = (crossed[last] == crossed - end) & (np.arange(len(stream)) + min_run <= len(stream)) & ~end
-                order = order[inside[order]]
-                if not len(order):
-                    continue
-                new = np.append(True, rank[order][1:] != rank[order][:-1])
-                at = np.flatnonzero(new)
-                low, high = np.minimum.reduceat(whole[order], at), np.maximum.reduceat(whole[order], at)
-                first = order[at]
-                out.append((host, window_hashes(stream, min_run)[first], low, high))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, r, _, _ in out for _ in r], pa.string()), *(pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in (1, 2, 3))], names=["host", "run", "low", "high"])
-
-    rows = parsed.select("host", F.when(F.col("level") == OPEN, F.xxhash64("open")).otherwise(F.xxhash64("text")).alias("content"), "open", "aside")
-    found = rows.mapInArrow(arrays, kind).groupBy("host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return found.where("low < high").select("host", "run")
-
-
-def without_runs(opened: list[str], covered: list[int], min_run: int) -> str:
-    """The blocks without the tokens of covered runs; all of them if nothing would be left."""
-    gone = set()
-    for at in covered:
-        gone.update(range(at, at + min_run))
-    kept, at = [], 0
-    for text in opened:
-        tokens = text.split()
-        left = [t for k, t in enumerate(tokens, at) if k not in gone]
-        at += len(tokens)
-        if left:
-            kept.append(" ".join(left))
-    return "\n".join(kept or opened)
-
-
-def extract_text(pages: DataFrame, min_run: int = 8) -> DataFrame:
-    """page_id, url, text and n_chars of each page."""
-    parsed = stored(parse(pages))
-    marked = parsed.where(F.col("level") > OPEN).select("page_id", "url", "text")
-    content = F.xxhash64("page_id", "url", "open")
-    unmarked = parsed.where(F.col("level") == OPEN).withColumn("key", content)
+            for key, blocks in zip(zip(*(batch.column(c).to_pylist() for c in ("host", "part", "pages", "parts"))), batch.column("blocks").to_pylist()):
+                if held and key != now:
+                    yield out()
+                    held = []
+                now = key
+                held.append(blocks)
+        if held:
+            yield out()
+
+    ordered = dealt.repartition("host", "part").sortWithinPartitions("host", "part").select("host", "part", "pages", "parts", "blocks")
+    found = stored(ordered.mapInArrow(runs, "host string, pages long, parts int, run long"))
+    several = found.where("parts > 1").select("host", "run", F.greatest(F.ceil(F.col("pages") * F.lit(share) - F.lit(1e-9)), F.lit(least)).alias("enough")).distinct()
+    one = found.where("parts = 1").select("host", "run")
+    if not several.limit(1).count():
+        return one
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, host, opened in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "open"))):
-                runs = window_hashes(token_hashes(opened), min_run)
-                if len(runs):
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(runs), pa.int64()), pa.array([host] * len(runs), pa.string()), pa.array(np.arange(len(runs)), pa.int64()), pa.array(runs, pa.int64())], names=["key", "host", "at", "run"])
+            for host, blocks in zip(batch.column("host").to_pylist(), batch.column("blocks").to_pylist()):
+                found = np.unique(window_hashes(token_hashes(blocks), min_run))
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array(found)], names=["host", "run"])
+
+    posts = dealt.where("parts > 1").select("host", "blocks").mapInArrow(windows, "host string, run long")
+    counts = posts.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n"))
+    return one.unionByName(several.join(counts, ["host", "run"]).where("n >= enough").select("host", "run"))
+
+
+def without_runs(blocks: list[str], marked: bool, runs: np.ndarray, min_run: int) -> str:
+    """The blocks without what lies in windows of ``runs`` (sorted)."""
+    kept = blocks
+    if len(runs) and blocks:
+        windows = window_hashes(token_hashes(blocks), min_run)
+        hit = runs[np.minimum(np.searchsorted(runs, windows), len(runs) - 1)] == windows
+        if hit.any():
+            n = len(windows) + min_run - 1
+            change = np.zeros(n + 1, np.int64)
+            at = np.flatnonzero(hit)
+            np.add.at(change, at, 1)
+            np.add.at(change, at + min_run, -1)
+            gone = np.cumsum(change[:n]) > 0
+            stop = np.cumsum([t.count(" ") + 1 for t in blocks])
+            if marked:
+                own = [not gone[b - t.count(" ") - 1 : b].all() for t, b in zip(blocks, stop)]
+                left = sum(t.count(" ") + 1 for t, o in zip(blocks, own) if o)
+                kept = [t for t, o in zip(blocks, own) if o] if 2 * left > n else blocks
+            else:
+                parts = [" ".join(w for w, g in zip(t.split(" "), gone[b - t.count(" ") - 1 : b]) if not g) for t, b in zip(blocks, stop)]
+                kept = [t for t in parts if t] or blocks
+    return "\n".join(kept)
+
 
-    posts = unmarked.select("key", "host", "open").distinct().mapInArrow(windows, "key long, host string, at long, run long")
-    covered = posts.join(host_runs(parsed, min_run), ["host", "run"]).groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("covered"))  # places of one page
+def extract_text(pages: DataFrame, min_run: int = 8, share: float = 0.3, least: int = 3, part_pages: int = 1000) -> DataFrame:
+    """page_id, url, text and n_chars of each page."""
+    parsed = stored(parse(pages))
+    runs = template_windows(parsed, min_run, share, least, part_pages)
+    # a host's template is at most 1 / share times as long as its pages are on average; large hosts take it in several copies
+    copies = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n > 1000").select("host", F.least(F.ceil(F.col("n") / 1000), F.lit(256)).cast("int").alias("copies"))
+    templates = runs.groupBy("host").agg(F.array_sort(F.collect_list("run")).alias("runs")).join(copies, "host", "left")
+    templates = templates.select("host", "runs", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    placed = parsed.join(copies, "host", "left").withColumn("copy", F.pmod(F.xxhash64("page_id", "content"), F.coalesce("copies", F.lit(1))).cast("int"))
 
     @F.pandas_udf("string")
-    def clean(opened, covered):
-        return opened.combine(covered, lambda o, c: without_runs(list(o), [] if c is None else list(c), min_run))
+    def clean(blocks, marked, runs):
+        none = np.zeros(0, np.int64)
+        return blocks.combine(runs, lambda b, r: (b, none if r is None else np.asarray(r, np.int64))).combine(marked, lambda x, m: without_runs(list(x[0]), m, x[1], min_run))
 
-    rest = unmarked.join(covered, "key", "left").select("page_id", "url", clean("open", "covered").alias("text"))
-    return marked.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
+    found = placed.join(templates, ["host", "copy"], "left").select("page_id", "url", clean("blocks", "marked", "runs").alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 import random
 
 import numpy as np
+import pytest
 
-from linewright.llm.html_extract import extract_text, page_blocks, suffix_ranks
+from linewright.llm.html_extract import candidates, extract_text, page_blocks, repeated_runs
 
-SCHEMA = "page_id long, url string, html string, text string, host string"
+SCHEMA = "page_id long, url string, html string, text string, host string, level string, open int"
 
 
 def run(spark, rows, **kw):
-    return {r["page_id"]: (r["text"], r["n_chars"]) for r in extract_text(spark.createDataFrame(rows, SCHEMA), **kw).collect()}
+    return {r["page_id"]: (r["text"], r["n_chars"]) for r in extract_text(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), **kw).collect()}
 
 
 def test_marked_articles(spark):
@@ -38,14 +39,76 @@ def test_repeated_runs_of_a_host_go(spark):
     assert got[100][0] == template + " alone" and got[101][0] == got[102][0] == bodies[0]
 
 
-def test_suffix_ranks_against_brute_force():
-    rng = np.random.default_rng(1)
-    for n in (1, 2, 9, 60):
-        stream = rng.integers(0, 3, n).astype(np.uint64)
-        for depth in (1, 3, 4, 8):
-            runs = [tuple(stream[k : k + depth].tolist()) for k in range(n)]
-            order = {r: k for k, r in enumerate(sorted(set(runs)))}
-            assert suffix_ranks(stream, depth).tolist() == [order[r] for r in runs]
+def brute_runs(streams, least, min_run):
+    """Maximal runs on ``least`` pages, by counting every run of every length."""
+    pages = {}
+    for p, x in enumerate(streams):
+        for a in range(len(x)):
+            for b in range(a + min_run, len(x) + 1):
+                pages.setdefault(tuple(x[a:b].tolist()), set()).add(p)
+    frequent = {r for r, on in pages.items() if len(on) >= least}
+    longest = set()
+    for x in streams:
+        x, before = tuple(x.tolist()), 0
+        for a in range(len(x)):
+            size = max((n for n in range(min_run, len(x) - a + 1) if x[a : a + n] in frequent), default=0)
+            if size and size != before - 1:
+                longest.add(x[a : a + size])
+            before = size
+    return longest
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_runs_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    streams = [rng.integers(0, 3, rng.integers(0, 40)).astype(np.uint64) for _ in range(rng.integers(1, 7))]
+    template = rng.integers(0, 3, 21).astype(np.uint64)
+    streams = [np.concatenate([x, template[rng.integers(0, 5) :], x[:5]]) if rng.random() < 0.7 else x for x in streams]
+    for least, min_run in ((2, 3), (3, 4), (2, 8), (4, 5)):
+        got = [tuple(streams[p][a : a + n].tolist()) for p, a, n in repeated_runs(streams, least, min_run)]
+        assert len(got) == len(set(got)) and set(got) == brute_runs(streams, least, min_run)
+
+
+WORDS = "welcome to our site please enjoy your long stay here"
+
+
+def bodies_of(n, size=40, seed=3):
+    rng = random.Random(seed)
+    return [" ".join(f"w{rng.randrange(10**6)}" for _ in range(size)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("part_pages", [1000, 5])
+def test_the_array_alone_removes_boilerplate_inside_articles(spark, part_pages):
+    bodies = bodies_of(14)
+    rows = [(k, "http://h.x/p", f"<article><p>{WORDS}</p><p>{b}</p><div class='zzz'>{WORDS} again</div></article>", "", "") for k, b in enumerate(bodies)]
+    rows += [(50, "http://h.x/p", rows[0][2], "", ""), (60, None, rows[1][2], "", "")]
+    got = run(spark, rows, part_pages=part_pages)
+    assert [got[k][0] for k in range(14)] == bodies and got[50] == got[0]
+    assert got[60][0] == f"{WORDS}\n{bodies[1]}\n{WORDS} again"
+
+
+def test_copies_and_quoted_passages_stay(spark):
+    bodies = bodies_of(12, 60)
+    near = [b for b in bodies[:1] for b in (b, b + " changed", "other " + b)]
+    quote = " ".join(f"q{k}" for k in range(55))
+    quoting = [f"{bodies[k]} {quote} {bodies[k + 3]}" for k in (1, 2)]
+    own = near + quoting + bodies[6:]
+    for mark in ("<article><p>{}</p></article>", "<div>{}</div>"):
+        got = run(spark, [(k, "http://n.x/", mark.format(b), "", "") for k, b in enumerate(own)])
+        assert [got[k][0] for k in range(len(own))] == own
+
+
+def test_wrappers_do_not_eat_articles():
+    real = lambda html: candidates(html)[1]
+    assert real('<div class="content-with-sidebar"><article><p>Real article</p></article></div>') == ["Real article"]
+    assert real('<div class="layout has-sidebar"><p>page</p></div>') == ["page"]
+    assert real('<article><p>some <b class="alert">note</b> inside</p></article>') == ["some note inside"]
+    assert real('<article><div class="related-work">kept</div></article>') == ["kept"]
+    assert real('<div class="sidebar"><article>only here</article></div>') == ["only here"]
+    assert real('<div class="sidebar"><article>teaser</article></div><article>text</article>') == ["text"]
+    assert real('<article>text</article><section class="comments"><article>reader</article></section>') == ["text"]
+    assert real('<article>a<div class="share-buttons">Share</div><div id="cookie-notice">c</div></article>') == ["a"]
+    assert real("<nav><article>menu</article></nav>out") == ["out"]
 
 
 def test_odd_markup():
