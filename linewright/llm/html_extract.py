@@ -12,7 +12,7 @@ candidates (one least hash of their token windows) count as one, so copies make
 block that lies in such runs as a whole goes, unless half of the article would; where none is marked, the covered tokens go,
 unless all would. Hosts of fewer than ``least`` distinct pages have no templates.
 
-A host's distinct pages are dealt by their least hash to parts of about ``part_pages``, one array each. A run on ``share`` of
+A host's distinct pages are dealt by their least hash to parts of ``part_pages`` at most on average, one array each. A run on ``share`` of
 all pages stands on ``share`` of some part (pigeonhole), so the parts' runs are all that need to be counted over a whole host; that
 is done by windows of ``min_run`` tokens, and exactly. No host has to fit into one task.
 
@@ -27,13 +27,16 @@ import html as entities
 import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, pick, slices, stored, table
+from .common import join_hot, pick, slices, stored, table, tidy_shuffles
 from .url_filter import url_parts
 
 # Element names of HTML and words that sites use in class and id.
@@ -171,7 +174,17 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-PARSED_SCHEMA = "page_id long, url string, host string, marked boolean, blocks array<string>, sig long, content long"
+PARSED_SCHEMA = "page_id long, url string, host string, marked boolean, packed binary, sig long, content long"
+
+
+def packed(blocks: list[str]) -> bytes:
+    """Blocks hold no line ends; pages are stored and shuffled in this form."""
+    return zstandard.compress("\n".join(blocks).encode("utf-8", "surrogatepass"), 3)
+
+
+def unpacked(found: bytes) -> list[str]:
+    text = zstandard.decompress(found).decode("utf-8", "surrogatepass")
+    return text.split("\n") if text else []
 
 
 def token_hashes(texts: list[str]) -> np.ndarray:
@@ -210,11 +223,11 @@ def parse(pages: DataFrame) -> DataFrame:
                 tokens = token_hashes(blocks)
                 windows = window_hashes(tokens, min(4, len(tokens))) if len(tokens) else np.zeros(1, np.int64)
                 marks.append(mark)
-                found.append(blocks)
+                found.append(packed(blocks))
                 sigs.append(windows.min())
                 contents.append(int(np.bitwise_xor.reduce(windows * np.arange(1, 2 * len(windows) + 1, 2))))
-            columns = [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(marks, pa.bool_()), pa.array(found, pa.list_(pa.string())), pa.array(sigs, pa.int64()), pa.array(contents, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "marked", "blocks", "sig", "content"])
+            columns = [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(marks, pa.bool_()), pa.array(found, pa.binary()), pa.array(sigs, pa.int64()), pa.array(contents, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "marked", "packed", "sig", "content"])
 
     return rows.select("page_id", "url", host.alias("host"), "html").mapInArrow(scan, PARSED_SCHEMA)
 
@@ -317,56 +330,54 @@ def _best_shared(pages: list[int], common: list[int], least: int) -> list[int]:
     return best
 
 
+def _distinct_pages(rows: Iterator[tuple]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """The token streams of each part's distinct pages, from rows (host, part, parts, sig, packed) sorted by these."""
+    for key, own in groupby(rows, lambda r: r[:3]):
+        yield key, [token_hashes(unpacked(next(same)[4])) for _, same in groupby(own, lambda r: r[3])]
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in columns))
+
+
 def template_windows(parsed: DataFrame, min_run: int, share: float, least: int, part_pages: int) -> DataFrame:
     """(host, run) for every window of ``min_run`` tokens in a run that enough of the host's distinct pages hold."""
-    distinct = parsed.where((F.size("blocks") > 0) & (F.col("host") != "")).groupBy("host", "sig").agg(F.min_by("blocks", F.struct("content", "blocks")).alias("blocks"))
-    distinct = stored(distinct)
-    hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    total = distinct.count()
-    parts = hosts.select("host", F.col("n").alias("pages"), F.ceil(F.col("n") / F.lit(part_pages)).cast("int").alias("parts"), "n")
-    dealt = join_hot(distinct, parts, "host", total).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the copies in a batch the first: what copies there are does not pile up in one task."""
+        for batch in batches:
+            order = sorted((*row, k) for k, row in enumerate(_rows([batch], "host", "sig", "content")))
+            kept = [next(same)[3] for _, same in groupby(order, lambda r: r[:2])]
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    own = parsed.where("host != ''").select("host", "sig", "content", "packed")
+    parts = own.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).withColumn("parts", F.ceil(F.col("n") / F.lit(part_pages)).cast("int"))
+    dealt = join_hot(own.mapInArrow(once, own.schema), parts, "host", parsed.count()).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "sig", "content", "packed").select("host", "part", "parts", "sig", "packed")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # the pages of one part, which follow each other
-        now = None
-
-        def out() -> pa.RecordBatch:
-            host, _, pages, parts = now
-            enough = max(1 if parts > 1 else least, int(np.ceil(share * len(held) - 1e-9)))
-            if parts == 1:
-                enough = max(least, int(np.ceil(share * pages - 1e-9)))
-            streams = [token_hashes(b) for b in held]
+        for (host, _, parts), streams in _distinct_pages(_rows(batches, "host", "part", "parts", "sig", "packed")):
+            enough = max(least if parts == 1 else 1, int(np.ceil(share * len(streams) - 1e-9)))
             found = [window_hashes(streams[p][a : a + size], min_run) for p, a, size in repeated_runs(streams, enough, min_run)]
             found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array([pages] * len(found), pa.int64()), pa.array([parts] * len(found), pa.int32()), pa.array(found)], names=["host", "pages", "parts", "run"])
+            n = len(found) + 1  # a row without a run says how many pages the part has
+            yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array([parts] * n, pa.int32()), pa.array([None, *found.tolist()], pa.int64()), pa.array([len(streams)] * n, pa.int64())], names=["host", "parts", "run", "pages"])
 
-        for batch in batches:
-            for key, blocks in zip(zip(*(batch.column(c).to_pylist() for c in ("host", "part", "pages", "parts"))), batch.column("blocks").to_pylist()):
-                if held and key != now:
-                    yield out()
-                    held = []
-                now = key
-                held.append(blocks)
-        if held:
-            yield out()
-
-    ordered = dealt.repartition("host", "part").sortWithinPartitions("host", "part").select("host", "part", "pages", "parts", "blocks")
-    found = stored(ordered.mapInArrow(runs, "host string, pages long, parts int, run long"))
-    several = found.where("parts > 1").select("host", "run", F.greatest(F.ceil(F.col("pages") * F.lit(share) - F.lit(1e-9)), F.lit(least)).alias("enough")).distinct()
-    one = found.where("parts = 1").select("host", "run")
+    found = stored(dealt.mapInArrow(runs, "host string, parts int, run long, pages long"))
+    one = found.where("parts = 1 AND run IS NOT NULL").select("host", "run")
+    several = found.where("parts > 1 AND run IS NOT NULL").select("host", "run").distinct()
     if not several.limit(1).count():
         return one
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for host, blocks in zip(batch.column("host").to_pylist(), batch.column("blocks").to_pylist()):
-                found = np.unique(window_hashes(token_hashes(blocks), min_run))
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array(found)], names=["host", "run"])
+        for (host, _, _), streams in _distinct_pages(_rows(batches, "host", "part", "parts", "sig", "packed")):
+            found, counts = np.unique(np.concatenate([np.unique(window_hashes(x, min_run)) for x in streams]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array(found), pa.array(counts, pa.int64())], names=["host", "run", "n"])
 
-    posts = dealt.where("parts > 1").select("host", "blocks").mapInArrow(windows, "host string, run long")
-    counts = posts.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n"))
-    return one.unionByName(several.join(counts, ["host", "run"]).where("n >= enough").select("host", "run"))
+    counts = dealt.where("parts > 1").mapInArrow(windows, "host string, run long, n long").join(several, ["host", "run"], "left_semi").groupBy("host", "run").agg(F.sum("n").alias("n"))
+    sizes = found.where("parts > 1 AND run IS NULL").groupBy("host").agg(F.greatest(F.ceil(F.sum("pages") * F.lit(share) - F.lit(1e-9)), F.lit(least)).alias("enough"))
+    return one.unionByName(counts.join(sizes, "host").where("n >= enough").select("host", "run"))
 
 
 def without_runs(blocks: list[str], marked: bool, runs: np.ndarray, min_run: int) -> str:
@@ -393,10 +404,11 @@ def without_runs(blocks: list[str], marked: bool, runs: np.ndarray, min_run: int
     return "\n".join(kept)
 
 
-def extract_text(pages: DataFrame, min_run: int = 8, share: float = 0.3, least: int = 3, part_pages: int = 1000) -> DataFrame:
+def extract_text(pages: DataFrame, min_run: int = 8, share: float = 0.3, least: int = 3, part_pages: int = 400) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
-    parsed = stored(parse(pages))
-    runs = template_windows(parsed, min_run, share, least, part_pages)
+    with tidy_shuffles(pages.sparkSession):
+        parsed = stored(parse(pages))
+        runs = stored(template_windows(parsed, min_run, share, least, part_pages))
     # a host's template is at most 1 / share times as long as its pages are on average; large hosts take it in several copies
     copies = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n > 1000").select("host", F.least(F.ceil(F.col("n") / 1000), F.lit(256)).cast("int").alias("copies"))
     templates = runs.groupBy("host").agg(F.array_sort(F.collect_list("run")).alias("runs")).join(copies, "host", "left")
@@ -404,11 +416,11 @@ def extract_text(pages: DataFrame, min_run: int = 8, share: float = 0.3, least:
     placed = parsed.join(copies, "host", "left").withColumn("copy", F.pmod(F.xxhash64("page_id", "content"), F.coalesce("copies", F.lit(1))).cast("int"))
 
     @F.pandas_udf("string")
-    def clean(blocks, marked, runs):
+    def clean(found: pd.Series, marked: pd.Series, runs: pd.Series) -> pd.Series:
         none = np.zeros(0, np.int64)
-        return blocks.combine(runs, lambda b, r: (b, none if r is None else np.asarray(r, np.int64))).combine(marked, lambda x, m: without_runs(list(x[0]), m, x[1], min_run))
+        return pd.Series([without_runs(unpacked(b), m, none if r is None else np.asarray(r, np.int64), min_run) for b, m, r in zip(found, marked, runs)], dtype=object)
 
-    found = placed.join(templates, ["host", "copy"], "left").select("page_id", "url", clean("blocks", "marked", "runs").alias("text"))
+    found = placed.join(templates, ["host", "copy"], "left").select("page_id", "url", clean("packed", "marked", "runs").alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
