@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .similarity import no_text, trimmed
+from .similarity import bound, no_text, trimmed
 from .text import ACCENTED, clean, null_to_empty
 
 # Letters with Vietnamese marks; symbols that a sound line may hold.
@@ -34,45 +34,66 @@ def words(c: Column) -> Column:
     return count(c, r"(?U)\S+")
 
 
-def junk_ratio(c: Column, profile: str = "live") -> Column:
+def _measured(c: Column, profile: str) -> dict[str, Column]:
+    """The text in the form that the profile measures."""
+    return {"s": {"live": clean(c), "lcf": trimmed(c), "router": null_to_empty(c)}[profile], "blank": no_text(c) if profile == "lcf" else trimmed(c) == ""}
+
+
+def _counts(s: Column, profile: str) -> dict[str, Column]:
+    """What is counted in it, each class once."""
+    out = {"n": F.length(s), "alpha": chars(s, r"\p{L}"), "digit": chars(s, r"\p{Nd}"), "upper": chars(s, r"\p{Lu}"), "accent": chars(s, ACCENTED if profile == "lcf" else ACCENTS)}
+    single_spaced = F.when(s == "", F.lit(0)).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
+    out["words"] = single_spaced if profile == "live" else words(s)
     if profile == "router":
-        s = null_to_empty(c)
-        return ratio(chars(s, rf"^0-9A-Za-z{ACCENTED}\s.,\-+/:%&()"), F.length(s))
-    s = clean(c) if profile == "live" else trimmed(c)
-    bad = chars(s, rf"^\p{{L}}\p{{N}}\s\p{{IsWhite_Space}}{SOUND_SYMBOLS if profile == 'live' else ACCENTED}")
-    return F.when(s == "", F.lit(1.0 if profile == "live" else 0.0)).otherwise(1.0 - (F.length(s) - bad) / F.length(s))
+        lines = F.filter(F.split(s, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"), lambda x: trimmed(x) != "")
+        return out | {"bad": chars(s, rf"^0-9A-Za-z{ACCENTED}\s.,\-+/:%&()"), "lines": F.size(lines), "spaces": chars(s, r"\s\p{IsWhite_Space}")}
+    return out | {"bad": chars(s, rf"^\p{{L}}\p{{N}}\s\p{{IsWhite_Space}}{SOUND_SYMBOLS if profile == 'live' else ACCENTED}")}
 
 
-def text_features(c: Column, profile: str = "live") -> dict[str, Column]:
-    """The features by name. live: cleaned text, upper and accent shares of letters. lcf: trimmed text, all shares of
-    characters. router: untouched text, upper and accent shares of letters."""
-    raw = null_to_empty(c)
-    s = {"live": clean(c), "lcf": trimmed(c), "router": raw}[profile]
-    n, alpha, digit, upper = F.length(s), chars(s, r"\p{L}"), chars(s, r"\p{Nd}"), chars(s, r"\p{Lu}")
-    accent = chars(s, ACCENTED if profile == "lcf" else ACCENTS)
+def _derived(s: Column, blank: Column, of: dict[str, Column], profile: str) -> dict[str, Column]:
+    n, alpha, digit, upper, accent = (of[k] for k in ("n", "alpha", "digit", "upper", "accent"))
     by = {"live": alpha, "router": alpha, "lcf": F.greatest(n, F.lit(1))}[profile]
     size = F.greatest(n, F.lit(1)) if profile == "lcf" else n
     out = {"digit_count": digit, "alpha_count": alpha, "upper_count": upper, "accent_count": accent}
-    out |= {"digit_ratio": ratio(digit, size), "alpha_ratio": ratio(alpha, size), "upper_ratio": ratio(upper, by), "accent_ratio": ratio(accent, by)}
-    single_spaced = F.when(s == "", F.lit(0)).otherwise(n - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
-    out |= {"word_count": single_spaced if profile == "live" else words(s), "junk_ratio": junk_ratio(c, profile)}
+    out |= {"digit_ratio": ratio(digit, size), "alpha_ratio": ratio(alpha, size), "upper_ratio": ratio(upper, by), "accent_ratio": ratio(accent, by), "word_count": of["words"]}
     if profile == "router":
-        lines = F.filter(F.split(raw, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"), lambda x: trimmed(x) != "")
-        out |= {"text_len": n, "line_count_text": F.size(lines), "space_count": chars(s, r"\s\p{IsWhite_Space}"), "junk_count": chars(s, rf"^0-9A-Za-z{ACCENTED}\s.,\-+/:%&()")}
-        return out | {"avg_word_len": ratio(n, words(s)), "is_blank_pred": (trimmed(c) == "").cast("int")}
+        out |= {"junk_ratio": ratio(of["bad"], n), "text_len": n, "line_count_text": of["lines"], "space_count": of["spaces"], "junk_count": of["bad"]}
+        return out | {"avg_word_len": ratio(n, of["words"]), "is_blank_pred": blank.cast("int")}
+    out["junk_ratio"] = F.when(s == "", F.lit(1.0 if profile == "live" else 0.0)).otherwise(1.0 - (n - of["bad"]) / n)
     out |= {"text_len": n, "char_count": n, "has_digit": (digit > 0).cast("int"), "has_accent": (accent > 0).cast("int"), "has_dot": F.contains(s, F.lit(".")).cast("int"), "has_plus": F.contains(s, F.lit("+")).cast("int")}
-    return out | {"is_blank": (no_text(c) if profile == "lcf" else s == "").cast("int")}
+    return out | {"is_blank": (blank if profile == "lcf" else s == "").cast("int")}
+
+
+def text_features(c: Column, profile: str = "live") -> dict[str, Column]:
+    """The features by name. live: cleaned text, upper and accent shares of letters. lcf: trimmed text, all shares of
+    characters. router: untouched text, upper and accent shares of letters."""
+    form = _measured(c, profile)
+    return _derived(form["s"], form["blank"], _counts(form["s"], profile), profile)
+
+
+def with_text_features(df: DataFrame, text: str, profile: str = "live", only: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the features (or ``only`` some of them); the measured form and each count are made once for a row."""
+    df = df.withColumns({f"_form_{k}": c for k, c in _measured(F.col(text), profile).items()})
+    counts = _counts(F.col("_form_s"), profile)
+    df = df.withColumns({f"_count_{k}": c for k, c in counts.items()})
+    made = _derived(F.col("_form_s"), F.col("_form_blank"), {k: F.col(f"_count_{k}") for k in counts}, profile)
+    return df.withColumns({k: made[k] for k in only or made}).drop("_form_s", "_form_blank", *(f"_count_{k}" for k in counts))
 
 
 def is_junk_line(c: Column, score: Column) -> Column:
     """Blank, unsure, almost without letters and digits, broken into short capitals, or long without meaningful words."""
-    s = trimmed(c)
-    tokens = F.regexp_extract_all(s, F.lit(f"([{LINE_LETTERS}0-9]+)"), 1)
-    n = F.size(tokens)
-    short = F.size(F.filter(tokens, lambda t: F.length(t) <= 2)) / n
-    capital = F.size(F.filter(tokens, lambda t: (F.length(t) <= 3) & (t == F.upper(t)) & (t != F.lower(t)))) / n
-    meaning = F.size(F.filter(tokens, lambda t: (F.length(t) >= 4) | t.rlike(f"[{LOWER_ACCENTS}]")))
-    return (s == "") | F.coalesce(score < 0.45, F.lit(False)) | (count(s, f"[{LINE_LETTERS}0-9]") < 2) | ((n >= 6) & (short >= 0.45) & (capital >= 0.40)) | ((n >= 8) & (meaning <= 2))
+
+    def judged(x: Column) -> Column:
+        s, tokens = x["s"], x["tokens"]
+        n = F.size(tokens)
+        short = F.size(F.filter(tokens, lambda t: F.length(t) <= 2)) / n
+        capital = F.size(F.filter(tokens, lambda t: (F.length(t) <= 3) & (t == F.upper(t)) & (t != F.lower(t)))) / n
+        meaning = F.size(F.filter(tokens, lambda t: (F.length(t) >= 4) | t.rlike(f"[{LOWER_ACCENTS}]")))
+        few = F.aggregate(tokens, F.lit(0), lambda a, t: a + F.length(t)) < 2  # tokens are the runs of letters and digits
+        return (s == "") | few | ((n >= 6) & (short >= 0.45) & (capital >= 0.40)) | ((n >= 8) & (meaning <= 2))
+
+    with_tokens = bound(trimmed(c), lambda s: F.struct(s.alias("s"), F.regexp_extract_all(s, F.lit(f"([{LINE_LETTERS}0-9]+)"), 1).alias("tokens")))
+    return F.coalesce(score < 0.45, F.lit(False)) | bound(with_tokens, judged)
 
 
 def number(c: Column) -> Column:

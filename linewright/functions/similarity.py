@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,24 +52,36 @@ def token_f1(truth: Column, guess: Column) -> Column:
     return F.when(blank, 1.0).when(either, 0.0).otherwise(_f1(F.size(F.array_intersect(a, b)), F.size(a), F.size(b)))
 
 
-def _counted(tokens: Column) -> Column:
-    """Each token with how often it stood before, so that sets count as multisets do; sorted, so in n log n."""
-    ordered = F.array_sort(tokens)
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once: what a lambda takes from outside is made again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def shared_count(a: Column, b: Column) -> Column:
+    """How many elements two arrays share, repeats counted: sorted, both are walked once."""
 
-    def step(acc: Column, t: Column) -> Column:
-        n = F.when(t == acc["last"], acc["n"] + 1).otherwise(F.lit(1))
-        return F.struct(t.alias("last"), n.alias("n"), F.concat(acc["out"], F.array(F.concat_ws(" ", t, n.cast("string")))).alias("out"))
+    def walk(x: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            left, right = F.get(x["a"], at["i"]), F.get(x["b"], at["j"])
+            same, less = left == right, left < right
+            move = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+            return F.struct((at["i"] + move(same | less)).alias("i"), (at["j"] + move(same | ~less)).alias("j"), (at["n"] + move(same)).alias("n"))
 
-    return F.aggregate(ordered, start, step, lambda acc: acc["out"])
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n"))
+        return F.aggregate(F.concat(x["a"], x["b"]), start, step, lambda at: at["n"])
+
+    return bound(F.struct(F.array_sort(a).alias("a"), F.array_sort(b).alias("b")), walk)
 
 
 def multiset_f1(truth: Column, guess: Column) -> Column:
     """Over multisets of evaluation-key tokens."""
-    a, b = (_tokens(eval_key(c)) for c in (truth, guess))
-    empty = (F.size(a) == 0).cast("int") + (F.size(b) == 0).cast("int")
-    common = F.size(F.array_intersect(_counted(a), _counted(b)))
-    return F.when(empty == 2, 1.0).when(empty == 1, 0.0).otherwise(_f1(common, F.size(a), F.size(b)))
+
+    def score(x: Column) -> Column:
+        empty = (F.size(x["a"]) == 0).cast("int") + (F.size(x["b"]) == 0).cast("int")
+        both = F.when(empty == 0, shared_count(x["a"], x["b"]))
+        return F.when(empty == 2, 1.0).when(empty == 1, 0.0).otherwise(bound(both, lambda n: _f1(n, F.size(x["a"]), F.size(x["b"]))))
+
+    return bound(F.struct(_tokens(eval_key(truth)).alias("a"), _tokens(eval_key(guess)).alias("b")), score)
 
 
 def error_class(guess: Column, truth: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import number, text_features
+from ..functions.features import number, with_text_features
 from .lines import CROPS, crop_lines, first_by, joined_places, marked_lines, merged_lines, policy_lines
 
 CATEGORICAL = ["candidate_name", "candidate_type", "source_variant"]
@@ -59,7 +59,7 @@ def relative_to_raw(df: DataFrame, key: str, is_raw: Column, profile: str = "liv
 
 def with_features(df: DataFrame, key: str, profile: str = "live") -> DataFrame:
     """The 35 numeric features of each candidate."""
-    made = df.withColumns(text_features(F.col("ocr_text"), profile))
+    made = with_text_features(df, "ocr_text", profile)
     lines = F.coalesce(F.col("num_lines").cast("double"), F.lit(0.0))
     made = made.withColumns({"line_score_x_num_lines": F.coalesce("avg_line_score", F.lit(0.0)) * lines, "area_x_num_lines": F.coalesce("avg_area_ratio", F.lit(0.0)) * lines})
     return relative_to_raw(made, key, F.col("candidate_name") == "variant::raw", profile)
@@ -70,6 +70,11 @@ def rank_score() -> Column:
     return 4.0 * F.coalesce("avg_line_score", F.lit(0.0)) + F.least(F.coalesce("word_count", F.lit(0)), F.lit(40)) / 10.0 - 3.0 * F.coalesce("junk_ratio", F.lit(0.0)) - F.when(F.col("candidate_type") == "merged_line_policy", 2.0).otherwise(0.0)
 
 
+def rank_features(df: DataFrame) -> DataFrame:
+    """What the rank score and its ties are made of, and no more."""
+    return with_text_features(df, "ocr_text", only=("text_len", "word_count", "junk_ratio"))
+
+
 def choose(df: DataFrame, key: str, predicted: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """The chosen candidate of each item: lowest predicted error, or, without a prediction or if that is blank, the best rank score.
 
@@ -121,7 +126,7 @@ def router_features(report: DataFrame, key: str, variants: list[str]) -> DataFra
     if absent := [c for c in need if c not in report.columns]:
         raise ValueError(f"missing columns: {absent}")
     df = report.where(F.col("variant").isin(variants)).withColumns({"ocr_text": F.coalesce("ocr_text", F.lit("")), "avg_score": number(F.col("avg_score")), "num_lines": number(F.col("num_lines"))})
-    df = df.withColumns(text_features(F.col("ocr_text"), "router"))
+    df = with_text_features(df, "ocr_text", "router")
     by = Window.partitionBy(key)
     raw = {f"raw_{c}": F.coalesce(F.max(F.when(F.col("variant") == "raw", F.col(c))).over(by), F.lit(0)) for c in ("avg_score", "num_lines", "text_len", "word_count", "line_count_text", "is_blank_pred")}
     df = df.withColumns(raw).withColumns({f"{n}_minus_raw": F.col(c) - F.col(f"raw_{c}") for n, c in (("score", "avg_score"), ("num_lines", "num_lines"), ("text_len", "text_len"), ("word_count", "word_count"))})

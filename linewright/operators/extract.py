@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, compact_alnum, join_labels, rule_key, split_labels
 from .lines import first_by
-from .vocabulary import Rule, as_array, collected
+from .vocabulary import Rule, collected, held_entries
 
 # ---- gazetteers and rules over the rule key -------------------------------------------------------------------------
 
@@ -17,20 +17,29 @@ def _whole(text: Column, phrase: Column) -> Column:
     return F.when(F.contains(text, phrase), F.regexp_instr(text, F.concat(F.lit(r"\b\Q"), phrase, F.lit(r"\E\b")))).otherwise(F.lit(0))
 
 
-def brand_hits(norm: Column, packed: Column, gazetteer: list) -> Column:
-    """Names found, by place, then longer first; hits of the packed form (5 characters or more) have places in it."""
-    entries = as_array(gazetteer, brand="string", norm="string", compact="string", char_len="int")
-    packed_at = lambda g: F.when(F.length(g["compact"]) >= 5, F.instr(packed, g["compact"])).otherwise(F.lit(0))
-    hits = F.transform(entries, lambda g: F.struct(F.when(_whole(norm, g["norm"]) > 0, _whole(norm, g["norm"])).otherwise(packed_at(g)).alias("at"), (-g["char_len"]).alias("n"), g["brand"].alias("brand")))
+def held_brands(norm: Column, packed: Column, gazetteer: list) -> Column:
+    return held_entries(norm, packed, gazetteer, "norm", "compact", 5, brand="string", norm="string", compact="string", char_len="int")
+
+
+def held_products(norm: Column, packed: Column, gazetteer: list) -> Column:
+    return held_entries(norm, packed, gazetteer, "norm", "compact", 6, product="string", norm="string", compact="string", char_len="int", freq="double")
+
+
+def held_rules(norm: Column, packed: Column, rules: list) -> Column:
+    return held_entries(norm, packed, rules, "alias_norm", "alias_compact", 6, rule_rank="long", canonical="string", alias_norm="string", alias_compact="string")
+
+
+def brand_hits(norm: Column, packed: Column, entries: Column) -> Column:
+    """Names found (of ``held_brands``), by place, then longer first; hits of the packed form (5 characters or more) have places in it."""
+    placed = F.transform(entries, lambda g: F.struct(_whole(norm, g["norm"]).alias("whole"), F.when(F.length(g["compact"]) >= 5, F.instr(packed, g["compact"])).otherwise(F.lit(0)).alias("packed"), g.alias("g")))
+    hits = F.transform(placed, lambda p: F.struct(F.when(p["whole"] > 0, p["whole"]).otherwise(p["packed"]).alias("at"), (-p["g"]["char_len"]).alias("n"), p["g"]["brand"].alias("brand")))
     return F.transform(F.array_sort(F.filter(hits, lambda h: h["at"] > 0)), lambda h: h["brand"])
 
 
-def product_hits(norm: Column, packed: Column, gazetteer: list, most: int = 3) -> Column:
-    """The best names found: exact 2.0, packed (6 or more) 1.7, up to 0.1 for frequency and 0.4 for length; a name inside one chosen before it is skipped."""
-    entries = as_array(gazetteer, product="string", norm="string", compact="string", char_len="int", freq="double")
-    exact = lambda g: (_whole(norm, g["norm"]) > 0).cast("int")
-    inside = lambda g: ((F.length(g["compact"]) >= 6) & F.contains(packed, g["compact"])).cast("int")
-    scored = F.transform(entries, lambda g: F.struct((-(2.0 * exact(g) + 1.7 * inside(g) + F.least(g["freq"], F.lit(20.0)) / 200.0 + F.least(g["char_len"], F.lit(40)) / 100.0)).alias("s"), g["norm"].alias("norm"), g["product"].alias("product"), (exact(g) + inside(g)).alias("hit")))
+def product_hits(norm: Column, packed: Column, entries: Column, most: int = 3) -> Column:
+    """The best names found (of ``held_products``): exact 2.0, packed (6 or more) 1.7, up to 0.1 for frequency and 0.4 for length; a name inside one chosen before it is skipped."""
+    placed = F.transform(entries, lambda g: F.struct((_whole(norm, g["norm"]) > 0).cast("int").alias("exact"), ((F.length(g["compact"]) >= 6) & F.contains(packed, g["compact"])).cast("int").alias("inside"), g.alias("g")))
+    scored = F.transform(placed, lambda p: F.struct((-(2.0 * p["exact"] + 1.7 * p["inside"] + F.least(p["g"]["freq"], F.lit(20.0)) / 200.0 + F.least(p["g"]["char_len"], F.lit(40)) / 100.0)).alias("s"), p["g"]["norm"].alias("norm"), p["g"]["product"].alias("product"), (p["exact"] + p["inside"]).alias("hit")))
     found = F.array_sort(F.filter(scored, lambda s: s["hit"] > 0))
     none = F.array().cast("array<struct<s:double,norm:string,product:string,hit:int>>")
     return F.aggregate(found, none, lambda got, x: F.when((F.size(got) >= most) | F.exists(got, lambda y: F.contains(y["norm"], x["norm"])), got).otherwise(F.concat(got, F.array(x))), lambda got: F.transform(got, lambda x: x["product"]))
@@ -69,8 +78,9 @@ def rulebase(df: DataFrame, brands: list, products: list, rules: list[Rule] = []
     """Adds brand_v3 and product_v3: gazetteer brands; products of rules, then of the gazetteer, split and joined again."""
     df = df.withColumns({"_norm": rule_key(F.col(text))}).withColumn("_packed", F.regexp_replace("_norm", r"\s+", ""))
     norm, packed = F.col("_norm"), F.col("_packed")
-    found = F.flatten(F.transform(F.concat(rule_products(norm, rules, suppressed), product_hits(norm, packed, products)), split_labels))
-    return df.withColumns({"brand_v3": join_labels(brand_hits(norm, packed, brands)), "product_v3": join_labels(found)}).drop("_norm", "_packed")
+    df = df.withColumns({"_brands": held_brands(norm, packed, brands), "_products": held_products(norm, packed, products)})
+    found = F.flatten(F.transform(F.concat(rule_products(norm, rules, suppressed), product_hits(norm, packed, F.col("_products"))), split_labels))
+    return df.withColumns({"brand_v3": join_labels(brand_hits(norm, packed, F.col("_brands"))), "product_v3": join_labels(found)}).drop("_norm", "_packed", "_brands", "_products")
 
 
 # ---- curated rules: aliases in evidence, filling blanks only --------------------------------------------------------
@@ -82,9 +92,8 @@ def holds_alias(norm: Column, packed: Column, alias_norm: Column, alias_packed:
     return (alias_norm != "") & ((F.when(F.contains(norm, alias_norm), free).otherwise(F.lit(False))) | ((F.length(alias_packed) >= 6) & F.contains(packed, alias_packed)))
 
 
-def first_alias_rule(norm: Column, packed: Column, rules: list) -> Column:
-    """Of rows (rule_rank, canonical, alias_norm, alias_compact) the name of the lowest rank whose alias the text holds."""
-    entries = as_array(rules, rule_rank="long", canonical="string", alias_norm="string", alias_compact="string")
+def first_alias_rule(norm: Column, packed: Column, entries: Column) -> Column:
+    """Of rows (rule_rank, canonical, alias_norm, alias_compact; of ``held_rules``) the name of the lowest rank whose alias the text holds."""
     hits = F.filter(entries, lambda r: holds_alias(norm, packed, r["alias_norm"], r["alias_compact"]))
     return F.get(F.array_sort(F.transform(hits, lambda r: F.struct(r["rule_rank"].alias("k"), r["canonical"].alias("name")))), F.lit(0))["name"]
 
@@ -99,12 +108,12 @@ def curated_fill(df: DataFrame, brand_rules: list, product_rules: list, brand: s
     """Fills blank brands and products by the first rule over text and evidence; adds *_rule, the name each rule set gave."""
     both = clean(F.concat_ws(" || ", F.coalesce(text, F.lit("")), F.coalesce(evidence, F.lit(""))))
     df = df.withColumns({"_norm": rule_key(both)}).withColumn("_packed", F.regexp_replace("_norm", "[^a-z0-9]+", ""))
-    out = df
-    for c, rules, named in ((brand, brand_rules, "brand_rule"), (product, product_rules, "product_rule")):
+    out = df.withColumns({"_held_brand_rule": held_rules(F.col("_norm"), F.col("_packed"), brand_rules), "_held_product_rule": held_rules(F.col("_norm"), F.col("_packed"), product_rules)})
+    for c, named in ((brand, "brand_rule"), (product, "product_rule")):
         old = F.coalesce(F.col(c), F.lit(""))
-        out = out.withColumn(named, F.when(F.trim(old) == "", F.coalesce(first_alias_rule(F.col("_norm"), F.col("_packed"), rules), F.lit(""))).otherwise(F.lit("")))
+        out = out.withColumn(named, F.when(F.trim(old) == "", F.coalesce(first_alias_rule(F.col("_norm"), F.col("_packed"), F.col(f"_held_{named}")), F.lit(""))).otherwise(F.lit("")))
         out = out.withColumn(c, F.when(F.col(named) != "", F.col(named)).otherwise(old))
-    return out.drop("_norm", "_packed")
+    return out.drop("_norm", "_packed", "_held_brand_rule", "_held_product_rule")
 
 
 # ---- scored aliases ---------------------------------------------------------------------------------------------------
@@ -121,8 +130,8 @@ def alias_brand(df: DataFrame, aliases: list, threshold: float = 5.0, margin: fl
     """
     df = df.withColumns({"_n": rule_key(F.col(text)), "_e": rule_key(F.col(evidence)), "_ctx": F.concat_ws(" || ", text, evidence).rlike(BRAND_CONTEXT)})
     df = df.withColumns({"_p": F.regexp_replace("_n", "[^a-z0-9]+", ""), "_ep": F.regexp_replace("_e", "[^a-z0-9]+", "")})
-    entries = as_array(aliases, canonical_ord="long", canonical="string", alias_ord="long", alias_norm="string", alias_compact="string")
-    hits = F.filter(entries, lambda a: holds_alias(F.col("_n"), F.col("_p"), a["alias_norm"], a["alias_compact"]))
+    df = df.withColumn("_held", held_entries(F.col("_n"), F.col("_p"), aliases, "alias_norm", "alias_compact", 6, canonical_ord="long", canonical="string", alias_ord="long", alias_norm="string", alias_compact="string"))
+    hits = F.filter("_held", lambda a: holds_alias(F.col("_n"), F.col("_p"), a["alias_norm"], a["alias_compact"]))
 
     def scored(a: Column) -> Column:
         size = F.length(a["alias_compact"])
@@ -138,7 +147,7 @@ def alias_brand(df: DataFrame, aliases: list, threshold: float = 5.0, margin: fl
     df = df.withColumn("_second", F.get(F.filter("_r", lambda x: x["c"] != F.col("_first")["c"]), F.lit(0)))
     best, next_best = -F.col("_first")["s"], -F.col("_second")["s"]
     sure = (best >= threshold) & (F.col("_second").isNull() | (best - next_best >= margin))
-    return df.withColumns({"brand_v5": F.when(sure, F.col("_first")["name"]).otherwise(F.lit("")), "brand_v5_score": F.coalesce(best, F.lit(0.0))}).drop("_n", "_e", "_ctx", "_p", "_ep", "_r", "_first", "_second")
+    return df.withColumns({"brand_v5": F.when(sure, F.col("_first")["name"]).otherwise(F.lit("")), "brand_v5_score": F.coalesce(best, F.lit(0.0))}).drop("_n", "_e", "_ctx", "_p", "_ep", "_held", "_r", "_first", "_second")
 
 
 # ---- open product phrases ---------------------------------------------------------------------------------------------

@@ -4,22 +4,38 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def nearest_rank(df: DataFrame, group: list[str], value: str, shares: dict[str, float], parts: int = 1024) -> DataFrame:
     """Mean and nearest-rank percentiles of each group: the value at round(share * (n - 1)), half to even.
 
-    Values are counted first, so a group is a running sum over its distinct values, never one collected array.
+    Values are counted, cut into ``parts`` ranges of a group, and the ranges counted; ranks are then sought in the ranges that
+    hold them alone. So a task sees a group's ranges, or one range's distinct values, and never a whole group.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    by = Window.partitionBy(*group)
-    upto = counted.withColumns({"_upto": F.sum("_n").over(by.orderBy(value)), "_all": F.sum("_n").over(by)})
+    keys = [f"_g{k}" for k in range(len(group))]
+    counted = df.where(F.col(value).isNotNull()).groupBy(*(F.col(g).alias(k) for g, k in zip(group, keys)), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    steps = [1 << k for k in range((parts - 1).bit_length() - 1, -1, -1)]
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)], 10 * parts).alias("_cuts"))
+    cuts = cuts.select(*(F.col(k).alias(f"{k}_") for k in keys), "_cuts")
+    same = lambda: reduce(and_, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys))
+    part = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when(F.get("_cuts", low + step - 1) <= F.col("_v"), low + step).otherwise(low))
+    dealt = counted.join(cuts, same()).select(*keys, "_v", "_n", part.alias("_part"))
+    sizes = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size"), F.sum(F.col("_v") * F.col("_n")).alias("_sum"))
+    by = Window.partitionBy(*keys)
+    upto = sizes.withColumns({"_upto": F.sum("_size").over(by.orderBy("_part")), "_all": F.sum("_size").over(by), "_total": F.sum("_sum").over(by)})
     at = lambda share: F.bround(F.lit(share) * (F.col("_all") - 1), 0) + 1
-    picks = [F.min(F.when(F.col("_upto") >= at(s), F.col(value))).alias(name) for name, s in shares.items()]
-    return upto.groupBy(*group).agg((F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("avg"), *picks)
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), at(s).alias("at")) for name, s in shares.items())))
+    held = upto.select("*", wanted.alias("_w")).where((F.col("_w.at") <= F.col("_upto")) & (F.col("_w.at") > F.col("_upto") - F.col("_size")))
+    held = held.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("_part").alias("_part_"), "_w.name", (F.col("_w.at") - F.col("_upto") + F.col("_size")).alias("_at"), (F.col("_total") / F.col("_all")).alias("_avg"))
+    inside = dealt.join(held, same() & (F.col("_part") == F.col("_part_"))).withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "_part", "name").orderBy("_v")))
+    out = inside.where(F.col("_upto") >= F.col("_at")).groupBy(*keys)
+    picks = [F.min(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in shares]
+    return out.agg(F.first("_avg").alias("avg"), *picks).withColumnsRenamed(dict(zip(keys, group)))
 
 
 def rounded_ms(c: Column) -> Column:

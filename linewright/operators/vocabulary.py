@@ -1,19 +1,22 @@
 """Names, aliases and rules that texts are searched for.
 
-They are dimension tables: read from any DataFrame, checked against ``MOST`` entries, and put into the plan as one array
-literal, so that a search is a map over rows, in batch and in streams, without a join.
+They are dimension tables: read from any DataFrame, checked against ``MOST`` entries, and sent to the workers as one automaton
+of all entries. It names the few entries that a text holds in one pass over it, whatever their number; built-in expressions
+then judge these. A search is a map over rows, in batch and in streams, without a join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, compact, compact_alnum, is_label, rule_key, split_labels
 
-MOST = 20_000
+MOST = 200_000  # about 200 MB of automaton in a worker
 
 # Rule keys that name no brand and no product.
 NO_BRANDS = ["new", "hot", "sale", "review", "video", "shop", "store", "official", "chinh hang", "combo", "free", "ship", "freeship"]
@@ -25,20 +28,46 @@ def collected(df: DataFrame) -> list:
     """All rows of a dimension table, which may hold ``MOST`` at most."""
     rows = df.limit(MOST + 1).collect()
     if len(rows) > MOST:
-        raise ValueError(f"more than {MOST} entries: search in parts")
+        raise ValueError(f"more than {MOST} entries")
     return rows
 
 
-def as_array(rows: list, **types: str) -> Column:
-    """An array literal of structs."""
+def held_entries(norm: Column, packed: Column, rows: list, whole: str, inner: str, least: int, /, **types: str) -> Column:
+    """Those of ``rows``, as structs in their order, whose ``whole`` field is inside ``norm``, or whose ``inner`` field (``least`` characters or more) inside ``packed``."""
     kind = "array<struct<" + ",".join(f"{n}:{t}" for n, t in types.items()) + ">>"
     if not rows:
         return F.array().cast(kind)
-    return F.array(*(F.struct(*(F.lit(r[n]).alias(n) for n in types)) for r in rows)).cast(kind)
+    values = [tuple(r[n] for n in types) for r in rows]
+    keys = [(r[whole] or "", (r[inner] or "") if len(r[inner] or "") >= least else "") for r in rows]
+
+    @F.pandas_udf(kind)
+    def held(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        found = []
+        for side in (0, 1):
+            numbers: dict[str, list[int]] = {}
+            for k, pair in enumerate(keys):
+                if pair[side]:
+                    numbers.setdefault(pair[side], []).append(k)
+            automaton = ahocorasick.Automaton()
+            for phrase, own in numbers.items():
+                automaton.add_word(phrase, own)
+            automaton.make_automaton()
+            found.append(automaton if numbers else None)
+
+        def one(*texts: str | None) -> list[dict]:
+            seen = {k for automaton, text in zip(found, texts) if automaton and text for _, own in automaton.iter(text) for k in own}
+            return [dict(zip(types, values[k])) for k in sorted(seen)]
+
+        for n, p in batches:
+            yield pd.Series([one(a, b) for a, b in zip(n, p)], dtype=object)
+
+    return held(norm, packed)
 
 
 def brand_gazetteer(labels: DataFrame, canonical: dict[str, str] | None = None, column: str = "brand_name", builtin: tuple[str, ...] = ()) -> DataFrame:
-    """brand, norm, compact and char_len, one row for each norm, the longest first. ``canonical``: norm to preferred name."""
+    """brand, norm, compact and char_len, one row for each norm, in no order. ``canonical``: norm to preferred name."""
     names = labels.select(F.explode(split_labels(F.col(column))).alias("brand"))
     if builtin:
         names = names.unionByName(labels.sparkSession.createDataFrame([(b,) for b in builtin], "brand string"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..operators import vocabulary as vc
 from ..operators.vocabulary import Rule
 from ..streaming import extract as stream
 from .adapters import LINES, PARTS, RULE_KEY, RULES, lines, part_labels, phrase_rules, table
+from .texts import ORACLES as TEXT_ORACLES
 
 DEMO_RULES = [Rule("STEEL", (r"\bsteel\b",)), Rule("BRUSHED NICKEL", (r"\bbrushed nickel\b", r"\bnickel\b")), Rule("TIN", (r"\btin\b",)), Rule("COPPER", (r"\bcopper\b",))]
 
@@ -56,7 +58,8 @@ def product_gaz_top3(spark, sf):
 
 def first_match_rules(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", rule_key(F.col("text")).alias("n")).withColumn("p", F.regexp_replace("n", "[^a-z0-9]+", ""))
-    return docs.select("doc_id", ex.first_alias_rule(F.col("n"), F.col("p"), _rule_rows(spark, sf)).alias("rule"))
+    docs = docs.withColumn("held", ex.held_rules(F.col("n"), F.col("p"), _rule_rows(spark, sf)))
+    return docs.select("doc_id", ex.first_alias_rule(F.col("n"), F.col("p"), F.col("held")).alias("rule"))
 
 
 def all_match_rules(spark, sf):
@@ -163,10 +166,13 @@ def stream_extract(spark, sf):
 
 
 def _scratch(spark) -> str:
-    """The shared folder that the session names, else a local one."""
+    """The shared folder that the session names; a local one only where it names none and all runs in one process."""
     import tempfile
 
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or f"file://{tempfile.mkdtemp()}").rstrip("/")
 
 
 QUERIES = {f.__name__: f for f in (brand_gazetteer, product_gazetteer, brand_hits, product_gaz_top3, first_match_rules, all_match_rules, regex_first_match, baseline_rules, alias_score_margin, phrase_candidates, phrase_best, curated_fill_only, cascade, ocr_json_v3, ocr_json_v2, ocr_json_clean, variant_geometry, two_head_product_model, stream_extract)}
@@ -175,12 +181,34 @@ _SPLIT = r"unnest(list_filter(list_transform(regexp_split_to_array({}, '\s*\+\s*
 _NORMS = f"{PARTS}, names AS (SELECT {_SPLIT.format('product_name')} AS product FROM parts), counted AS (SELECT product, count(*) AS freq FROM names GROUP BY 1), normed AS (SELECT *, {RULE_KEY.format('product')} AS norm FROM counted)"
 _CLEAN_GAZ = r"""good AS (SELECT * FROM normed WHERE length(norm) > 3 AND NOT regexp_full_match(norm, '\d+') AND NOT (NOT contains(norm, ' ') AND length(norm) < 5) AND len(list_filter(string_split(norm, ' '), lambda x: length(x) = 1)) < 2),
 gaz AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY freq DESC, product) AS r FROM good) WHERE r = 1)"""
-_HOLDS = "(contains(' ' || regexp_replace({0}, '[^a-z0-9]', ' ', 'g') || ' ', ' ' || {1} || ' ') OR (length(replace({1}, ' ', '')) >= 6 AND contains(regexp_replace({0}, '[^a-z0-9]+', '', 'g'), replace({1}, ' ', ''))))"
+_BRANDS = rf"""bn AS (SELECT DISTINCT {_SPLIT.format('brand_name')} AS brand FROM parts), bk AS (SELECT brand, {RULE_KEY.format('brand')} AS norm FROM bn),
+brands AS (SELECT min(brand) AS brand, norm, replace(norm, ' ', '') AS compact FROM bk WHERE length(norm) >= 2 GROUP BY norm)"""
+#: Parts' texts hold letters, digits and spaces alone once they are keys, so a phrase stands free where spaces are around it.
+_FOUND_BRANDS = """found_b AS (SELECT item_id, brand, length(norm) AS size, CASE WHEN contains(' ' || n || ' ', ' ' || norm || ' ') THEN instr(' ' || n || ' ', ' ' || norm || ' ') WHEN length(compact) >= 5 THEN instr(replace(n, ' ', ''), compact) ELSE 0 END AS spot FROM keyed, brands),
+b AS (SELECT item_id, string_agg(brand, ' + ' ORDER BY spot, size DESC, brand) FILTER (spot > 0) AS brands FROM found_b GROUP BY 1)"""
+_FOUND_PRODUCTS = """found_p AS (SELECT item_id, product, norm, contains(' ' || n || ' ', ' ' || norm || ' ')::INT AS exact, (length(norm_packed) >= 6 AND contains(replace(n, ' ', ''), norm_packed))::INT AS inside, freq FROM keyed, (SELECT *, replace(norm, ' ', '') AS norm_packed FROM gaz)),
+ranked_p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY 2.0::DOUBLE * exact + 1.7::DOUBLE * inside + least(freq::DOUBLE, 20.0) / 200.0::DOUBLE + least(length(norm), 40) / 100.0::DOUBLE DESC, norm, product) AS r FROM found_p WHERE exact + inside > 0),
+free_p AS (SELECT item_id, product, r, row_number() OVER (PARTITION BY item_id ORDER BY r) AS place FROM ranked_p x WHERE NOT EXISTS (SELECT 1 FROM ranked_p y WHERE y.item_id = x.item_id AND y.r < x.r AND contains(y.norm, x.norm))),
+p AS (SELECT item_id, string_agg(product, ' + ' ORDER BY r) AS products FROM free_p WHERE place <= 3 GROUP BY 1)"""
+_KEYED = "keyed AS (SELECT item_id, ocr_text, {0} AS n FROM parts)"
+_TWICE, _ONCE = (_KEYED.format(RULE_KEY.format(c)) for c in ("(ocr_text || ' || ' || ocr_text)", "ocr_text"))
+#: Context words without marks: RE2 has boundaries of ASCII words alone, so letters beyond ASCII become one that no word has.
+_CONTEXT = r"regexp_matches(translate(lower(text), 'äçèéêíñóöüß', 'qqqqqqqqqqq'), '\b(serum|scrub|mascara|sunscreen|cleanser|cleansing|mousse|cream|wash|mask|spf|body\s*scrub|sua\s*rua\s*mat|tay\s*da\s*chet|k2|d3|dha|colos|baby|kid|gold|grow|profutura|lactoferrin|tra\s*sua|banh|pate|kebab|matcha|roll|sua|milk|ta|bim)\b')"
 _RULED = f"{RULES}, r AS (SELECT rule_rank, canonical, {RULE_KEY.format('pattern')} AS a FROM rules), d AS (SELECT *, {RULE_KEY.format('text')} AS n FROM documents)"
 _FREE = r"(regexp_matches(n, '(^|[^a-z0-9])' || regexp_replace(a, '([.+&-])', '\\\1', 'g') || '($|[^a-z0-9])') OR (length(regexp_replace(a, '[^a-z0-9]+', '', 'g')) >= 6 AND contains(regexp_replace(n, '[^a-z0-9]+', '', 'g'), regexp_replace(a, '[^a-z0-9]+', '', 'g'))))"
 _BOX = "SELECT doc_id, {idx} AS line_idx, line_text, line_score, x::DOUBLE AS box_xmin, y::DOUBLE AS box_ymin, (x + w)::DOUBLE AS box_xmax, (y + h)::DOUBLE AS box_ymax, w::DOUBLE AS box_width, h::DOUBLE AS box_height, (w * h)::DOUBLE AS box_area, (x + x + w) / 2.0::DOUBLE / 1024 AS box_cx_ratio, (w * h)::DOUBLE / (1024 * 2048) AS box_area_ratio FROM lines"
 _NUMBERED = "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) - 1 AS INT)"
 ORACLES = {
+    "brand_hits": f"WITH {PARTS}, {_BRANDS}, {_TWICE}, {_FOUND_BRANDS} SELECT item_id, coalesce(brands, '') AS brands FROM b",
+    "product_gaz_top3": f"WITH {_NORMS}, {_CLEAN_GAZ}, {_TWICE}, {_FOUND_PRODUCTS} SELECT item_id, coalesce(products, '') AS products FROM keyed LEFT JOIN p USING (item_id)",
+    "stream_extract": f"WITH {_NORMS}, {_CLEAN_GAZ}, {_BRANDS}, {_ONCE}, {_FOUND_BRANDS}, {_FOUND_PRODUCTS} SELECT item_id, ocr_text, coalesce(brands, '') AS brand_name, coalesce(products, '') AS product_name FROM keyed LEFT JOIN b USING (item_id) LEFT JOIN p USING (item_id)",
+    "alias_score_margin": rf"""WITH {_RULED}, a AS (SELECT *, regexp_replace(a, '[^a-z0-9]+', '', 'g') AS c FROM r WHERE length(replace(a, ' ', '')) > 2 AND a NOT IN ({', '.join(repr(x) for x in vc.NO_ALIASES)})),
+h AS (SELECT doc_id, rule_rank, canonical, length(c) AS size, {_CONTEXT} AS ctx, CASE WHEN contains(n, a) THEN instr(n, a) - 1 WHEN length(c) >= 6 THEN instr(regexp_replace(n, '[^a-z0-9]+', '', 'g'), c) - 1 ELSE -1 END AS spot FROM d, a WHERE {_FREE}),
+s AS (SELECT doc_id, rule_rank, canonical, round(4.0::DOUBLE + CASE WHEN spot < 0 THEN 0 WHEN spot <= 40 THEN 1 WHEN spot <= 100 THEN 0.5 ELSE 0 END + 0.75 + CASE WHEN ctx THEN 0.6 ELSE 0 END + 0.4 + CASE WHEN size >= 6 THEN 0.3 ELSE 0 END - CASE WHEN size <= 3 THEN 1.0 ELSE 0 END, 4) AS s FROM h WHERE size > 3 OR ctx),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, rule_rank) AS k FROM s), f AS (SELECT * FROM o WHERE k = 1), g AS (SELECT o.doc_id, max(o.s) AS s FROM o JOIN f ON o.doc_id = f.doc_id AND o.rule_rank != f.rule_rank GROUP BY 1)
+SELECT d.doc_id, CASE WHEN f.s >= 5.0 AND (g.s IS NULL OR f.s - g.s >= 0.5) THEN f.canonical ELSE '' END AS brand_v5, coalesce(f.s, 0.0)::DOUBLE AS brand_v5_score FROM d LEFT JOIN f ON d.doc_id = f.doc_id LEFT JOIN g ON d.doc_id = g.doc_id""",
+    "ocr_json_clean": rf"""WITH {LINES}, j AS ({TEXT_ORACLES['junk_line_filter']}), k AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(line_text, '\s+', ' ', 'g'))) AS t FROM lines JOIN j USING (doc_id, line_idx) WHERE NOT junk AND line_score >= 0.45)
+SELECT doc_id, count(*) AS n, CAST(count(*) - 1 AS INT) AS last FROM k GROUP BY 1""",
     "brand_gazetteer": rf"""WITH {PARTS}, names AS (SELECT DISTINCT {_SPLIT.format('brand_name')} AS brand FROM parts), k AS (SELECT brand, {RULE_KEY.format('brand')} AS norm FROM names)
 SELECT min(brand) AS brand, norm, regexp_replace(norm, '\s+', '', 'g') AS compact, length(norm) AS char_len FROM k WHERE length(norm) >= 2 GROUP BY norm""",
     "product_gazetteer": rf"WITH {_NORMS}, {_CLEAN_GAZ} SELECT product, norm, regexp_replace(norm, '\s+', '', 'g') AS compact, length(norm) AS char_len, freq FROM gaz",

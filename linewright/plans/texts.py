@@ -59,8 +59,9 @@ def cleaner_normalize_line(spark, sf):
 
 def _features(profile):
     def query(spark, sf):
-        made = fe.text_features(F.col("text"), profile)
-        return table(spark, sf, "documents").select("doc_id", *(made[k].cast("double").alias(k) for k in sorted(made)))
+        docs = table(spark, sf, "documents").select("doc_id", "text")
+        made = fe.with_text_features(docs, "text", profile)
+        return made.select("doc_id", *(F.col(k).cast("double").alias(k) for k in sorted(set(made.columns) - set(docs.columns))))
 
     return query
 
@@ -104,6 +105,10 @@ SELECT doc_id, coalesce(string_agg(t, ' ' ORDER BY ord) FILTER (k = 1 AND t != '
 SELECT conv_id, turn, array_to_string(list_filter(a, lambda x, i: i = 1 OR lower(x) != lower(a[i - 1])), ' ') AS once FROM t""",
     "label_splitting": rf"""WITH {PARTS}, s AS (SELECT item_id, brand_name, list_filter(list_transform(regexp_split_to_array(product_name, '\s*\+\s*|;|,'), lambda x: trim(x)), lambda x: x != '') AS labels FROM parts)
 SELECT item_id, array_to_string(labels, '|') AS labels, CASE WHEN len(labels) = 2 AND lower(labels[1]) != lower(labels[2]) THEN labels[1] || ' + ' || labels[2] ELSE labels[1] END || CASE WHEN list_contains(list_transform(labels, lambda x: lower(x)), lower(brand_name)) THEN '' ELSE ' + ' || brand_name END AS joined FROM s""",
+    "cleaner_normalize_line": rf"""WITH {LINES}, a AS (SELECT doc_id, line_idx, regexp_replace(regexp_replace(line_text, '[\p{{C}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{3040}}-\x{{30FF}}\x{{AC00}}-\x{{D7AF}}\x{{1F300}}-\x{{1FAFF}}]', ' ', 'g'), '[^\p{{L}}\p{{N}}\s+\-/%.,:&()\[\]]', ' ', 'g') AS s FROM lines),
+b AS (SELECT doc_id, line_idx, regexp_replace(regexp_replace({CLEAN.format('s')}, '\s*/\s*', '/', 'g'), '\s*-\s*', '-', 'g') AS s FROM a),
+c AS (SELECT doc_id, line_idx, regexp_replace(regexp_replace(s, '([A-Za-zÀ-ỹ0-9])\s*\+(\s|$)', '\1+\2', 'g'), '([A-Za-zÀ-ỹ0-9])\s*\+\s*([A-Za-zÀ-ỹ0-9])', '\1 + \2', 'g') AS s FROM b)
+SELECT doc_id, line_idx, {CLEAN.format('s')} AS cleaned FROM c""",
     "junk_line_filter": rf"""WITH {LINES}, t AS (SELECT doc_id, line_idx, line_score, {TRIM.format('line_text')} AS s FROM lines),
 k AS (SELECT *, regexp_extract_all(s, '[a-zA-ZÀ-ỹĐđ0-9]+') AS a, {n_of('s', '[a-zA-ZÀ-ỹĐđ0-9]')} AS good FROM t),
 c AS (SELECT *, len(a) AS n, len(list_filter(a, lambda x: length(x) <= 2)) AS short, len(list_filter(a, lambda x: length(x) <= 3 AND x = upper(x) AND x != lower(x))) AS cap, len(list_filter(a, lambda x: length(x) >= 4 OR regexp_matches(x, '[{LOW}]'))) AS meaning FROM k)
