@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import eval_key, null_to_empty
+from .text import bound, eval_key, null_to_empty
 
 PARTLY_WRONG = ("partial_too_short", "partial_too_long", "wrong_partial_overlap", "wrong_no_overlap")
 
@@ -52,11 +50,6 @@ def token_f1(truth: Column, guess: Column) -> Column:
     return F.when(blank, 1.0).when(either, 0.0).otherwise(_f1(F.size(F.array_intersect(a, b)), F.size(a), F.size(b)))
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is made once: what a lambda takes from outside is made again for every element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def shared_count(a: Column, b: Column) -> Column:
     """How many elements two arrays share, repeats counted: sorted, both are walked once."""
 

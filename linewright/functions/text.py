@@ -7,6 +7,7 @@ letters and digits alone and folds d with stroke to d.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
@@ -17,6 +18,11 @@ BLANKS = r"(?U)\s+"
 ACCENTED = "À-ỹ"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once: what a lambda takes from outside is made again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def null_to_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -70,8 +76,11 @@ def compact_alnum(c: Column) -> Column:
 
 def first_of_each(items: Column, key=lambda x: x) -> Column:
     """Short arrays: the first element of each key, in order; empty keys go."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: (key(x) != "") & (F.array_position(keys, key(x)) == i + 1))
+
+    def once(x: Column) -> Column:
+        return F.transform(F.filter(x, lambda r, i: (r["key"] != "") & (F.array_position(F.transform(x, lambda y: y["key"]), r["key"]) == i + 1)), lambda r: r["item"])
+
+    return bound(F.transform(items, lambda x: F.struct(x.alias("item"), key(x).alias("key"))), once)
 
 
 def split_labels(c: Column) -> Column:
@@ -89,8 +98,8 @@ def is_label(c: Column) -> Column:
 
 def without_repeated_tokens(c: Column) -> Column:
     """Tokens that equal the one before, whatever the case, go."""
-    tokens = F.split(clean(c), " ")
-    return F.array_join(F.filter(tokens, lambda x, i: (i == 0) | (F.lower(x) != F.lower(F.get(tokens, i - 1)))), " ")
+    keep = lambda tokens: F.filter(tokens, lambda x, i: (i == 0) | (F.lower(x) != F.lower(F.get(tokens, i - 1))))
+    return F.array_join(bound(F.split(clean(c), " "), keep), " ")
 
 
 def _compose(texts: pd.Series) -> pd.Series:

@@ -123,7 +123,8 @@ BRAND_CONTEXT = r"(?iU)\b(serum|scrub|mascara|sunscreen|cleanser|cleansing|mouss
 
 
 def alias_brand(df: DataFrame, aliases: list, threshold: float = 5.0, margin: float = 0.5, text: str = "ocr_text", evidence: str = "evidence_text") -> DataFrame:
-    """Adds brand_v5 and brand_v5_score: the best-scored name if it reaches the threshold and leads by the margin.
+    """Adds brand_v5 and brand_v5_score: the best-scored name if it reaches the threshold and leads by the margin; and
+    brand_v5_top, the five best names with their scores.
 
     An alias must be in the text itself to reach any sensible threshold, so others are not scored.
     ``aliases``: rows (canonical_ord, canonical, alias_ord, alias_norm, alias_compact).
@@ -145,9 +146,11 @@ def alias_brand(df: DataFrame, aliases: list, threshold: float = 5.0, margin: fl
     ranked = F.array_sort(F.filter(F.transform(hits, scored), lambda x: x["s"] < 100))
     df = df.withColumn("_r", ranked).withColumn("_first", F.get("_r", F.lit(0)))
     df = df.withColumn("_second", F.get(F.filter("_r", lambda x: x["c"] != F.col("_first")["c"]), F.lit(0)))
+    names = F.filter("_r", lambda x, i: F.array_position(F.transform("_r", lambda y: y["c"]), x["c"]) == i + 1)
+    top = F.array_join(F.transform(F.slice(names, 1, 5), lambda x: F.concat_ws(":", x["name"], F.format_number(-x["s"], 2))), " | ")
     best, next_best = -F.col("_first")["s"], -F.col("_second")["s"]
     sure = (best >= threshold) & (F.col("_second").isNull() | (best - next_best >= margin))
-    return df.withColumns({"brand_v5": F.when(sure, F.col("_first")["name"]).otherwise(F.lit("")), "brand_v5_score": F.coalesce(best, F.lit(0.0))}).drop("_n", "_e", "_ctx", "_p", "_ep", "_held", "_r", "_first", "_second")
+    return df.withColumns({"brand_v5": F.when(sure, F.col("_first")["name"]).otherwise(F.lit("")), "brand_v5_score": F.coalesce(best, F.lit(0.0)), "brand_v5_top": top}).drop("_n", "_e", "_ctx", "_p", "_ep", "_held", "_r", "_first", "_second")
 
 
 # ---- open product phrases ---------------------------------------------------------------------------------------------

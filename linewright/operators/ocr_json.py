@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import is_junk_line
-from ..functions.text import clean
+from ..functions.text import clean, without_repeated_tokens
 from .lines import first_by
 
 TEXTS, SCORES, POLYGONS = ("rec_texts", "texts", "text"), ("rec_scores", "scores", "rec_score"), ("rec_polys", "dt_polys", "polys", "boxes", "rec_boxes", "dt_boxes")
@@ -68,6 +68,14 @@ def records(df: DataFrame, json: str, keys: list[str], width: Column, height: Co
     return array_records(df.where(is_object), json, keys, width, height).unionByName(nested_records(df.where(~is_object), json, keys, width, height))
 
 
+def corner_text(df: DataFrame, keys: list[str], x: str = "box_xmin", y: str = "box_ymin", least_score: float = 0.35) -> DataFrame:
+    """keys and ocr_text: lines with a score of strictly more than ``least_score``, by their first corner (down, then across), in one
+    line, without tokens that repeat the one before. Keys without such a line have an empty text."""
+    line = F.when(F.col("line_score") > least_score, F.struct(F.col(y).alias("y"), F.col(x).alias("x"), "line_idx", "line_text"))
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("_rows"))  # lines of one image
+    return rows.select(*keys, without_repeated_tokens(F.array_join(F.transform("_rows", lambda r: r["line_text"]), " ")).alias("ocr_text"))
+
+
 def clean_records(df: DataFrame, keys: list[str], least_score: float = 0.45) -> DataFrame:
     """Sure lines that are no junk, in reading order, each once whatever its case: adds ``ord``."""
     score = F.coalesce("line_score", F.lit(1.0))

@@ -89,3 +89,31 @@ def numbered(df: DataFrame, *order) -> DataFrame:
 
 def paged(df: DataFrame, offset: int, limit: int, *order) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def result_rows(df: DataFrame, phase: str = "phase2") -> DataFrame:
+    """Predictions in a submission's columns: what is null or absent is empty, and nothing else is touched."""
+    return df.select(*((null_to_empty(F.col(c)) if c in df.columns else F.lit("")).alias(c) for c in columns_of(phase)))
+
+
+def broken_cells(df: DataFrame) -> DataFrame:
+    """column and count of the cells with a line end or a tab, for the columns that have any."""
+    text = [c for c, t in df.dtypes if t == "string"]
+    if not text:
+        return df.sparkSession.createDataFrame([], "column string, count long")
+    counts = df.agg(*(F.count_if(F.col(c).rlike(r"[\n\r\t]")).alias(c) for c in text))
+    return counts.unpivot([], text, "column", "count").where("count > 0")
+
+
+def save(df: DataFrame, items: DataFrame, path: str, phase: str = "phase2", order: str | None = None) -> dict:
+    """Cleans, checks and writes a submission as CSV with a header; a faulty one raises, and nothing is written. Returns the check.
+
+    ``order`` as in ``check``; where it is given, rows are written in its order.
+    """
+    own = cleaned(df, phase) if order is None else df.select(*((single_line(F.col(c)) if c in df.columns else F.lit("")).alias(c) for c in columns_of(phase)), order)
+    report = check(own, items, columns_of(phase), order=order).first().asDict(recursive=True)
+    if not report["ok"]:
+        raise ValueError(f"invalid submission: {report}")
+    rows = own if order is None else own.orderBy(order).drop(order)
+    rows.write.option("header", True).option("emptyValue", "").csv(path)
+    return report

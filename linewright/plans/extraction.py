@@ -12,6 +12,7 @@ from ..operators import extract as ex
 from ..operators import images, ml, ocr_json
 from ..operators import vocabulary as vc
 from ..operators.vocabulary import Rule
+from ..sources import models
 from ..streaming import extract as stream
 from .adapters import LINES, PARTS, RULE_KEY, RULES, lines, part_labels, phrase_rules, table
 from .texts import ORACLES as TEXT_ORACLES
@@ -80,6 +81,26 @@ def alias_score_margin(spark, sf):
     return ex.alias_brand(docs, _aliases(spark, sf)).select("doc_id", "brand_v5", "brand_v5_score")
 
 
+def alias_top5(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("ocr_text"), F.col("text").alias("evidence_text"))
+    return ex.alias_brand(docs, _aliases(spark, sf)).select("doc_id", "brand_v5_top")
+
+
+def baseline_text(spark, sf):
+    return ocr_json.corner_text(lines(spark, sf), ["doc_id"], "x", "y")
+
+
+def model_bundle(spark, sf):
+    """A product model saved, loaded again and applied; and one that is not there, in whose place nothing is loaded."""
+    path = f"{_scratch(spark)}/bundle-{uuid.uuid4().hex}"
+    p = part_labels(spark, sf).select("item_id", F.length("ocr_text").cast("double").alias("size"))
+    from pyspark.ml.feature import VectorAssembler
+
+    models.save_bundle(path, {"sizes": VectorAssembler(inputCols=["size"], outputCol="vector")})
+    found = models.load_bundle(spark, path, ["sizes", "absent"])
+    return found["sizes"].transform(p).select("item_id", F.col("vector").cast("string").alias("vector"), F.lit(found["absent"] is None).alias("fallback"))
+
+
 def _phrases(spark, sf):
     p = part_labels(spark, sf)
     text = F.concat(F.lit("Body scrub "), "product_name", F.lit(" - serum "), "brand_name", F.lit(" cream || Review: "), "ocr_text")
@@ -175,7 +196,7 @@ def _scratch(spark) -> str:
     return (named or f"file://{tempfile.mkdtemp()}").rstrip("/")
 
 
-QUERIES = {f.__name__: f for f in (brand_gazetteer, product_gazetteer, brand_hits, product_gaz_top3, first_match_rules, all_match_rules, regex_first_match, baseline_rules, alias_score_margin, phrase_candidates, phrase_best, curated_fill_only, cascade, ocr_json_v3, ocr_json_v2, ocr_json_clean, variant_geometry, two_head_product_model, stream_extract)}
+QUERIES = {f.__name__: f for f in (brand_gazetteer, product_gazetteer, brand_hits, product_gaz_top3, first_match_rules, all_match_rules, regex_first_match, baseline_rules, alias_score_margin, alias_top5, baseline_text, model_bundle, phrase_candidates, phrase_best, curated_fill_only, cascade, ocr_json_v3, ocr_json_v2, ocr_json_clean, variant_geometry, two_head_product_model, stream_extract)}
 
 _SPLIT = r"unnest(list_filter(list_transform(regexp_split_to_array({}, '\s*\+\s*|;|,'), lambda x: trim(x)), lambda x: x != ''))"
 _NORMS = f"{PARTS}, names AS (SELECT {_SPLIT.format('product_name')} AS product FROM parts), counted AS (SELECT product, count(*) AS freq FROM names GROUP BY 1), normed AS (SELECT *, {RULE_KEY.format('product')} AS norm FROM counted)"
@@ -198,15 +219,21 @@ _RULED = f"{RULES}, r AS (SELECT rule_rank, canonical, {RULE_KEY.format('pattern
 _FREE = r"(regexp_matches(n, '(^|[^a-z0-9])' || regexp_replace(a, '([.+&-])', '\\\1', 'g') || '($|[^a-z0-9])') OR (length(regexp_replace(a, '[^a-z0-9]+', '', 'g')) >= 6 AND contains(regexp_replace(n, '[^a-z0-9]+', '', 'g'), regexp_replace(a, '[^a-z0-9]+', '', 'g'))))"
 _BOX = "SELECT doc_id, {idx} AS line_idx, line_text, line_score, x::DOUBLE AS box_xmin, y::DOUBLE AS box_ymin, (x + w)::DOUBLE AS box_xmax, (y + h)::DOUBLE AS box_ymax, w::DOUBLE AS box_width, h::DOUBLE AS box_height, (w * h)::DOUBLE AS box_area, (x + x + w) / 2.0::DOUBLE / 1024 AS box_cx_ratio, (w * h)::DOUBLE / (1024 * 2048) AS box_area_ratio FROM lines"
 _NUMBERED = "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) - 1 AS INT)"
+_SCORED = rf"""WITH {_RULED}, a AS (SELECT *, regexp_replace(a, '[^a-z0-9]+', '', 'g') AS c FROM r WHERE length(replace(a, ' ', '')) > 2 AND a NOT IN ({', '.join(repr(x) for x in vc.NO_ALIASES)})),
+h AS (SELECT doc_id, rule_rank, canonical, length(c) AS size, {_CONTEXT} AS ctx, CASE WHEN contains(n, a) THEN instr(n, a) - 1 WHEN length(c) >= 6 THEN instr(regexp_replace(n, '[^a-z0-9]+', '', 'g'), c) - 1 ELSE -1 END AS spot FROM d, a WHERE {_FREE}),
+s AS (SELECT doc_id, rule_rank, canonical, round(4.0::DOUBLE + CASE WHEN spot < 0 THEN 0 WHEN spot <= 40 THEN 1 WHEN spot <= 100 THEN 0.5 ELSE 0 END + 0.75 + CASE WHEN ctx THEN 0.6 ELSE 0 END + 0.4 + CASE WHEN size >= 6 THEN 0.3 ELSE 0 END - CASE WHEN size <= 3 THEN 1.0 ELSE 0 END, 4) AS s FROM h WHERE size > 3 OR ctx),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, rule_rank) AS k FROM s), f AS (SELECT * FROM o WHERE k = 1), g AS (SELECT o.doc_id, max(o.s) AS s FROM o JOIN f ON o.doc_id = f.doc_id AND o.rule_rank != f.rule_rank GROUP BY 1)"""
 ORACLES = {
     "brand_hits": f"WITH {PARTS}, {_BRANDS}, {_TWICE}, {_FOUND_BRANDS} SELECT item_id, coalesce(brands, '') AS brands FROM b",
     "product_gaz_top3": f"WITH {_NORMS}, {_CLEAN_GAZ}, {_TWICE}, {_FOUND_PRODUCTS} SELECT item_id, coalesce(products, '') AS products FROM keyed LEFT JOIN p USING (item_id)",
     "stream_extract": f"WITH {_NORMS}, {_CLEAN_GAZ}, {_BRANDS}, {_ONCE}, {_FOUND_BRANDS}, {_FOUND_PRODUCTS} SELECT item_id, ocr_text, coalesce(brands, '') AS brand_name, coalesce(products, '') AS product_name FROM keyed LEFT JOIN b USING (item_id) LEFT JOIN p USING (item_id)",
-    "alias_score_margin": rf"""WITH {_RULED}, a AS (SELECT *, regexp_replace(a, '[^a-z0-9]+', '', 'g') AS c FROM r WHERE length(replace(a, ' ', '')) > 2 AND a NOT IN ({', '.join(repr(x) for x in vc.NO_ALIASES)})),
-h AS (SELECT doc_id, rule_rank, canonical, length(c) AS size, {_CONTEXT} AS ctx, CASE WHEN contains(n, a) THEN instr(n, a) - 1 WHEN length(c) >= 6 THEN instr(regexp_replace(n, '[^a-z0-9]+', '', 'g'), c) - 1 ELSE -1 END AS spot FROM d, a WHERE {_FREE}),
-s AS (SELECT doc_id, rule_rank, canonical, round(4.0::DOUBLE + CASE WHEN spot < 0 THEN 0 WHEN spot <= 40 THEN 1 WHEN spot <= 100 THEN 0.5 ELSE 0 END + 0.75 + CASE WHEN ctx THEN 0.6 ELSE 0 END + 0.4 + CASE WHEN size >= 6 THEN 0.3 ELSE 0 END - CASE WHEN size <= 3 THEN 1.0 ELSE 0 END, 4) AS s FROM h WHERE size > 3 OR ctx),
-o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, rule_rank) AS k FROM s), f AS (SELECT * FROM o WHERE k = 1), g AS (SELECT o.doc_id, max(o.s) AS s FROM o JOIN f ON o.doc_id = f.doc_id AND o.rule_rank != f.rule_rank GROUP BY 1)
+    "alias_score_margin": rf"""{_SCORED}
 SELECT d.doc_id, CASE WHEN f.s >= 5.0 AND (g.s IS NULL OR f.s - g.s >= 0.5) THEN f.canonical ELSE '' END AS brand_v5, coalesce(f.s, 0.0)::DOUBLE AS brand_v5_score FROM d LEFT JOIN f ON d.doc_id = f.doc_id LEFT JOIN g ON d.doc_id = g.doc_id""",
+    "baseline_text": rf"""WITH {LINES}, t AS (SELECT doc_id, coalesce(string_agg(line_text, ' ' ORDER BY y, x, line_idx) FILTER (line_score > 0.35), '') AS s FROM lines GROUP BY 1), w AS (SELECT doc_id, string_split(trim(regexp_replace(s, '\s+', ' ', 'g')), ' ') AS a FROM t)
+SELECT doc_id, array_to_string(list_filter(a, lambda v, i: i = 1 OR lower(v) != lower(a[i - 1])), ' ') AS ocr_text FROM w""",
+    "model_bundle": f"WITH {PARTS} SELECT item_id, '[' || length(ocr_text)::DOUBLE || ']' AS vector, true AS fallback FROM parts",
+    "alias_top5": rf"""{_SCORED}, t AS (SELECT doc_id, string_agg(canonical || ':' || printf('%.2f', s), ' | ' ORDER BY k) AS top FROM o WHERE k <= 5 GROUP BY 1)
+SELECT d.doc_id, coalesce(t.top, '') AS brand_v5_top FROM d LEFT JOIN t ON d.doc_id = t.doc_id""",
     "ocr_json_clean": rf"""WITH {LINES}, j AS ({TEXT_ORACLES['junk_line_filter']}), k AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(line_text, '\s+', ' ', 'g'))) AS t FROM lines JOIN j USING (doc_id, line_idx) WHERE NOT junk AND line_score >= 0.45)
 SELECT doc_id, count(*) AS n, CAST(count(*) - 1 AS INT) AS last FROM k GROUP BY 1""",
     "brand_gazetteer": rf"""WITH {PARTS}, names AS (SELECT DISTINCT {_SPLIT.format('brand_name')} AS brand FROM parts), k AS (SELECT brand, {RULE_KEY.format('brand')} AS norm FROM names)

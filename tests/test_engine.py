@@ -42,3 +42,34 @@ def test_columns_and_bundles(spark):
     assert feature_lists({"cat_cols": ["a", "a"], "numeric_cols": ["b"]}) == (["a"], ["b"], ["a", "b"])
     assert len(feature_lists({})[1]) == 35
     assert with_evidence(df.withColumn("evidence_text", F.lit("e")), "image_id").first()["evidence_text"] == "e"
+
+
+def test_submissions_are_written_only_if_sound(spark, tmp_path):
+    import pytest
+
+    from linewright.operators import submission as sub
+
+    items = spark.createDataFrame([("a", 0), ("b", 1)], "image_id string, n int")
+    good = spark.createDataFrame([("b", "two\nlines", None, "p", 1), ("a", "x", "y", None, 0)], "image_id string, ocr_text string, brand_name string, product_name string, n int")
+    assert sub.save(good, items, f"{tmp_path}/good", order="n")["ok"]
+    got = spark.read.option("header", True).csv(f"{tmp_path}/good").fillna("").collect()
+    assert [tuple(r) for r in got] == [("a", "x", "y", ""), ("b", "two lines", "", "p")]
+    with pytest.raises(ValueError, match="duplicate_image_id"):
+        sub.save(good.unionByName(good), items, f"{tmp_path}/bad", order="n")
+    assert not (tmp_path / "bad").exists()
+    assert {tuple(r) for r in sub.broken_cells(good).collect()} == {("ocr_text", 1)}
+    assert sub.result_rows(good, "phase1").columns == sub.PHASES["phase1"]
+
+
+def test_model_bundles_fall_back_to_none(spark, tmp_path):
+    from pyspark.ml.feature import VectorAssembler
+
+    from linewright.sources import models
+
+    path = f"file://{tmp_path}/bundle"
+    assert models.bundle_bytes(spark, path) == 0
+    models.save_bundle(path, {"v": VectorAssembler(inputCols=["n"], outputCol="o")})
+    (tmp_path / "bundle" / "broken").mkdir()
+    found = models.load_bundle(spark, path, ["v", "broken", "absent"])
+    assert found["v"] is models.load_model(spark, path, "v") and found["broken"] is found["absent"] is None
+    assert found["v"].transform(spark.range(3).withColumnRenamed("id", "n")).count() == 3 and models.bundle_bytes(spark, path) > 0
