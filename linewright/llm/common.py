@@ -127,6 +127,19 @@ def _at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within it, Python workers get at most so many rows at once: 10,000 whole documents are held several times over on their way."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, keep: bool = True) -> DataFrame:
     """``df`` written once to the shared folder and read again: its lineage ends there and lost executors cost no recomputation.
 
@@ -134,7 +147,8 @@ def stored(df: DataFrame, keep: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linewright-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     if keep:
         atexit.register(_at_exit, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
