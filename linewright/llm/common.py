@@ -160,13 +160,18 @@ def keep_until_exit(df: DataFrame) -> None:
     atexit.register(_at_exit, df.sparkSession, df._stored_at)
 
 
+_ONE_TASK = 150_000
+
+
 def join_hot(rows: DataFrame, dims: DataFrame, key: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``dims``: one row for each key, whose ``n`` (dropped) says how many of about ``total`` rows have it.
 
     Keys with over a thousandth of the rows are joined by a broadcast: as ``n`` adds up to at most 2 * ``total``, they are
     2,000 at most, whatever the data, so ``dims`` should hold numbers only. All other keys are shuffled.
     """
-    often = F.col("n") > F.lit(max(100, total // 1000))
+    if total < _ONE_TASK:  # whatever key they share, so few rows fit into any task
+        return rows.join(dims.drop("n"), key)
+    often = F.col("n") > F.lit(total // 1000)
     heavy = F.broadcast(dims.where(often).drop("n"))
     light = rows.join(heavy.select(key), key, "left_anti").join(dims.where(~often).drop("n"), key)
     return light.unionByName(rows.join(heavy, key))
