@@ -95,9 +95,9 @@ def close_pairs(fps: DataFrame) -> DataFrame:
 
 def _labels(distinct: DataFrame, total: int) -> DataFrame:
     """fp, component (the smallest linked fp), component_id (the smallest doc_id of the component) and n of each row (fp, first, n)."""
-    linked = stored(components(close_pairs(distinct)).withColumnRenamed("node", "fp").join(distinct, "fp"))
+    linked = components(close_pairs(distinct)).withColumnRenamed("node", "fp").join(distinct, "fp")
     least = linked.groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
-    named = join_hot(linked.select("fp", "component"), least, "component", total)
+    named = join_hot(linked.select("fp", "component"), least, "component", total).select("fp", "component", "least")
     return distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"), "n")
 
 
