@@ -88,7 +88,7 @@ def grid_cells(fp: Column) -> Column:
 def close_pairs(fps: DataFrame) -> DataFrame:
     """Pairs (a < b) of distinct values of ``fp`` with 1 or 2 differing bits."""
     posts = fps.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
-    a, b = posts.alias("a"), posts.alias("b")
+    a, b = posts.alias("a"), posts.hint("merge").alias("b")  # Spark takes posts to be as small as the table they come from: a broadcast would fill the driver
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= 2
     return a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
@@ -191,12 +191,12 @@ def near_copies(distinct: DataFrame, rows: DataFrame, shingle: int, similarity:
 
     posts = distinct.select("id", "fp", F.explode("bands").alias("key"))
     ends = posts.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("low"), F.max(F.struct("id", "fp")).alias("high")).where("low.id != high.id")
-    met = posts.join(ends, "key").select("id", "fp", F.explode(F.array("low", "high")).alias("c")).where(F.col("id") != F.col("c.id")).where(near("fp", "c.fp"))
+    met = posts.join(ends.hint("merge"), "key").select("id", "fp", F.explode(F.array("low", "high")).alias("c")).where(F.col("id") != F.col("c.id")).where(near("fp", "c.fp"))
     stars = stored(met.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct())
     groups = components(_alike(stars, texts(stars), shingle, similarity, seed)).withColumnRenamed("node", "id")
     grouped = distinct.join(groups, "id", "left").withColumn("group", F.coalesce("component", "id"))
     posts = grouped.select("id", "fp", "group", F.explode("bands").alias("key"))
-    a, b = posts.alias("a"), posts.alias("b")
+    a, b = posts.alias("a"), posts.hint("merge").alias("b")
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.group") != F.col("b.group")) & near("a.fp", "b.fp")
     rest = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.group").alias("ga"), F.col("b.group").alias("gb")).distinct()
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"))

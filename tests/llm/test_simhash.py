@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from linewright.llm.common import stored
 from linewright.llm.graph import components
 from linewright.llm.simhash import close_pairs, fingerprint, group_near_duplicates
 
@@ -52,6 +53,12 @@ def test_close_pairs_against_all_pairs(spark):
     assert got == {(a, b) for a in fps for b in fps if a < b and bin((a ^ b) % (1 << 64)).count("1") <= 2}
 
 
+def test_posts_of_the_grid_are_not_broadcast(spark):
+    """33 posts a fingerprint, which Spark's estimate leaves out, stay out of the driver however few they seem."""
+    few = stored(spark.range(1000).selectExpr("xxhash64(id) AS fp"))
+    assert "BroadcastHashJoin" not in close_pairs(few)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(60)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)] + [(500, k) for k in range(501, 540)] + [(7, 7)]
