@@ -17,9 +17,9 @@ radius leaves whole are too short to tell lines apart.
 In blocks of up to ``SMALL`` lines all likely pairs are compared. In larger ones, and in blocks that lie in several batches, a
 line is held against the block's least line, and then, if they are not in one group yet, against ``CENTRES`` more that are drawn
 by a hash: pairs that add nothing to the groups are not made, and their number grows with the lines and not with the square
-of a block. Two lines of a crowded block that are alike, but neither alike to a centre of any block they share nor linked through
-others, stay apart; the README has what that costs. Blocks are cut by ranges of (key, id), so that lines of a crowded block lie in
-as many tasks as they need.
+of a block. What is then still in different groups of a crowded block meets whole, in squares of ``TILE`` lines a side, so that no
+likely pair of a block is lost: only links inside a group are left out. Blocks are cut by ranges of (key, id), so that lines of a
+crowded block lie in as many tasks as they need.
 
 Null texts stay null; empty texts stay. Rows that repeat both doc_id and text are one document and get one answer.
 An empty table gives no rows. Long texts are read whole. Columns named in ``keep`` ride along (one of the names ``n_lines`` or
@@ -45,7 +45,8 @@ PLACES, PER, LEAST = 12, 3, 3  # blocks posted; features a block; features that
 BITS, RADIUS = 104, 32  # of a SimHash: 64 bits, and 40 that share a number with the size
 _MOST = (1 << 128 - BITS) - 1  # sizes are told apart up to here
 SHORT, SHORT_PLACES = 12, 32  # lines of fewer words are compared by characters; their blocks posted
-SMALL, CENTRES = 24, 8  # lines of a block that are all held against each other; lines of a larger one that all others meet
+SMALL, CENTRES = 24, 8  # lines of a block that are all held against each other; lines of a larger one that all others meet first
+TILE = 2048  # about so many lines of a crowded block meet as many others in one place
 _TIMES = np.random.default_rng(17).integers(0, 2**63, SHORT_PLACES, np.uint64) * np.uint64(2) + np.uint64(1)
 _NORMAL = bytes(10 if c == 10 else 48 if 48 <= c <= 57 else WORD_BYTES[c] for c in range(256))
 #: The bits of each byte value, one in each byte of a 64-bit number.
@@ -261,24 +262,45 @@ def first_pairs(met: DataFrame, similarity: float) -> DataFrame:
     return met.where(F.col("kind") == PAIR).select("a", "b").unionByName(across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))).distinct()
 
 
-def pairs_between(met: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """Likely pairs (a, b) of a crowded block's centres and its other lines that are in different groups (ga, gb).
+def mixed_posts(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """The posts of ``met`` (id, fp, more, key, group, lines) in crowded blocks that hold several groups; lines: of the block.
 
-    ``groups`` (id, component) names lines with links; a line without is its own group. Blocks of one group go first.
+    ``groups`` (id, component) names lines with links; a line without is its own group.
     """
     posts = met.where(F.col("kind") == POST).select(F.col("a").alias("id"), "fp", "more", "key").join(groups, "id", "left")
     posts = posts.select("id", "fp", "more", "key", F.coalesce("component", "id").alias("group"))
-    mixed = posts.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high").select("key", "n")
-    posts = stored(join_hot(posts, mixed, "key", met.count()))
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id"))
-    centres = posts.withColumn("place", place).where(F.col("place") <= CENTRES).drop("place")
-    x, y = centres.alias("a"), posts.alias("b")
-    met = x.join(y, (F.col("a.key") == F.col("b.key")) & (F.col("a.group") != F.col("b.group")) & _likely_columns(similarity))
+    mixed = posts.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high").select("key", "n", F.col("n").alias("lines"))
+    return stored(join_hot(posts, mixed, "key", met.count()))
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    """(a, b, ga, gb) of joined posts a and b, the smaller id first, each pair once."""
     low, high = F.struct("a.id", "a.group"), F.struct("b.id", "b.group")
     ordered = met.select(F.when(F.col("a.id") < F.col("b.id"), F.struct(low.alias("x"), high.alias("y"))).otherwise(F.struct(high.alias("x"), low.alias("y"))).alias("p"))
     return ordered.select(F.col("p.x.id").alias("a"), F.col("p.y.id").alias("b"), F.col("p.x.group").alias("ga"), F.col("p.y.group").alias("gb")).distinct()
 
 
+def pairs_between(met: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Likely pairs (a, b) of a crowded block's centres and its other lines that are in different groups (ga, gb). Blocks of one group go first."""
+    posts = mixed_posts(met, groups)
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id"))
+    centres = posts.withColumn("place", place).where(F.col("place") <= CENTRES).drop("place")
+    x, y = centres.alias("a"), posts.alias("b")
+    return _ordered(x.join(y, (F.col("a.key") == F.col("b.key")) & (F.col("a.group") != F.col("b.group")) & _likely_columns(similarity)))
+
+
+def all_pairs_between(met: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """All likely pairs (a, b) of crowded blocks that are in different groups (ga, gb). A block's lines are dealt to parts, and each two parts meet once."""
+    parts = F.ceil(F.col("lines") / F.lit(TILE)).cast("int")
+    placed = mixed_posts(met, groups).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    own = ["id", "fp", "more", "group", "key"]
+    x = placed.select(*own, F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j")).alias("a")
+    y = placed.select(*own, F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j")).hint("merge").alias("b")
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.id") < F.col("b.id"))
+    return _ordered(x.join(y, same & once & (F.col("a.group") != F.col("b.group")) & _likely_columns(similarity)))
+
+
 def _shared(x: str, y: str) -> int:
     """Length of the common prefix."""
     low, high = 0, min(len(x), len(y))
@@ -380,14 +402,16 @@ def linked_lines(distinct: DataFrame, docs: DataFrame, similarity: float) -> Dat
     pairs = stored(first_pairs(met, similarity))
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     groups = stored(components(similar_pairs(pairs, line_forms(ends(pairs), distinct, docs), similarity)).withColumnRenamed("node", "id"))
-    rest = stored(pairs_between(met, groups, similarity).join(pairs, ["a", "b"], "left_anti"))
-    if not rest.limit(1).count():
-        return groups
-    # what is left are links between groups: a small graph of its own
-    between = components(similar_pairs(rest, line_forms(ends(rest), distinct, docs), similarity).select("ga", "gb")).select(F.col("node").alias("group"), F.col("component").alias("joint"))
-    grouped = distinct.select("id").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id"))
-    joined = grouped.join(between, "group", "left").where("component IS NOT NULL OR joint IS NOT NULL")
-    return joined.select("id", F.coalesce("joint", "group").alias("component"))
+    for between in (pairs_between, all_pairs_between):  # centres first: they leave few groups for the rest
+        rest = stored(between(met, groups, similarity).join(pairs, ["a", "b"], "left_anti"))
+        if rest.limit(1).count():
+            # what is left are links between groups: a small graph of its own
+            links = components(similar_pairs(rest, line_forms(ends(rest), distinct, docs), similarity).select("ga", "gb")).select(F.col("node").alias("group"), F.col("component").alias("joint"))
+            grouped = distinct.select("id").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id"))
+            joined = grouped.join(links, "group", "left").where("component IS NOT NULL OR joint IS NOT NULL")
+            groups = stored(joined.select("id", F.coalesce("joint", "group").alias("component")))
+            pairs = pairs.unionByName(rest.select("a", "b"))
+    return groups
 
 
 def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = (), similarity: float = 0.8) -> DataFrame:

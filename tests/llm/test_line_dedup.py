@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from linewright.llm import line_dedup
 from linewright.llm.common import stored, table
 from linewright.llm.line_dedup import CENTRES, LEAST, PLACES, _bound, _may_be_near, _trim, block_keys, dedup_lines, first_pairs, hashed_features, line_features, met_in_blocks, normal_lines, pairs_between, simhashes
 
@@ -203,6 +204,35 @@ def test_crowded_blocks_over_many_batches(spark):
     assert 2999 <= crowded <= 3100 and 2999 * CENTRES - 100 <= between <= 2999 * CENTRES
 
 
+def test_all_groups_of_a_crowded_block_meet(spark, monkeypatch):
+    """All pairs of lines of different groups, over tiles, each once; pairs of one group or that are not likely are not made."""
+    monkeypatch.setattr(line_dedup, "TILE", 7)
+    rng = random.Random(8)
+    fps = [rng.getrandbits(62) for _ in range(5)]
+    rows = [(k, rng.choice(fps), 100, [7]) for k in range(90)] + [(k, fps[0], 100, [8]) for k in range(100, 130)]
+    group = {k: k % 4 for k in range(0, 90, 2)}
+    met = stored(met_in_blocks(spark.createDataFrame(rows, "id long, fp long, more long, keys array<long>"), 0.8))
+    got = [tuple(r) for r in line_dedup.all_pairs_between(met, spark.createDataFrame(list(group.items()), "id long, component long"), 0.8).collect()]
+    near = lambda x, y: bin(x ^ y).count("1") <= line_dedup.RADIUS
+    own = lambda k: group.get(k, k)
+    want = [(a, b, own(a), own(b)) for a, x, _, p in rows for b, y, _, q in rows if a < b and p == q and own(a) != own(b) and near(x, y)]
+    assert sorted(got) == sorted(want)
+
+
+def test_alike_in_crowded_blocks_alone(spark):
+    """Pairs whose own words all differ by a letter share no block but those that hundreds of unlike lines share."""
+    rng = random.Random(41)
+    common = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(36)]
+    docs = []
+    for k in range(60):
+        own = ["".join(rng.choices("ijklmnopqrstuvwxyz", k=20)) for _ in range(4)]
+        for j, words in enumerate((own, [w[:9] + "a" + w[10:] for w in own])):
+            docs.append((2 * k + j, " ".join(w for c in range(4) for w in [*common[9 * c : 9 * c + 9], words[c]])))
+    got = texts(spark, docs)
+    assert all(got[2 * k] for k in range(60))
+    assert sum(got[2 * k + 1] == "" for k in range(60)) >= 54
+
+
 def test_short_lines_and_scripts_without_spaces(spark):
     paragraph = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(120))
     docs = [(1, "Read more\nHome\n\n"), (2, "read MORE!\nNews\n\nHome"), (3, paragraph), (4, paragraph + "\nother"), (5, paragraph[:60] + "二" + paragraph[61:]), (6, None), (7, "abcd"), (8, "abce")]
