@@ -125,3 +125,21 @@ def test_decontamination_judges_rows_not_ids(spark, folder):
     docs = spark.createDataFrame([(None, HIT), (None, "clean"), (7, "clean too"), (7, HIT), (8, None), (7, HIT)], "doc_id long, text string")
     left = corpus_pipeline.without_benchmarks(spark, docs, folder).collect()
     assert sorted(map(tuple, left), key=repr) == sorted([(None, "clean"), (7, "clean too"), (8, None)], key=repr)
+
+
+def test_line_dedup_stage_links_what_shares_crowded_blocks_alone(spark):
+    """Pairs whose own words all differ by a letter, among many unlike lines with the same common words."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(43)
+    common = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(36)]
+    rows = []
+    for k in range(60):
+        own = ["".join(rng.choices("ijklmnopqrstuvwxyz", k=20)) for _ in range(4)]
+        for j, found in enumerate((own, [w[:9] + "a" + w[10:] for w in own])):
+            rows.append((2 * k + j, " ".join(w for c in range(4) for w in [*common[9 * c : 9 * c + 9], found[c]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_repeated_lines(spark, docs, "").collect()}
+    assert all(got[2 * k] for k in range(60)) and sum(got[2 * k + 1] == "" for k in range(60)) >= 54
