@@ -404,23 +404,30 @@ def without_runs(blocks: list[str], marked: bool, runs: np.ndarray, min_run: int
     return "\n".join(kept)
 
 
+FEW_RUNS = 1 << 18  # windows of all hosts' templates that are broadcast, a few MB; more are joined by host
+
+
 def extract_text(pages: DataFrame, min_run: int = 8, share: float = 0.3, least: int = 3, part_pages: int = 400) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     with tidy_shuffles(pages.sparkSession):
         parsed = stored(parse(pages))
         runs = stored(template_windows(parsed, min_run, share, least, part_pages))
-    # a host's template is at most 1 / share times as long as its pages are on average; large hosts take it in several copies
-    copies = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n > 1000").select("host", F.least(F.ceil(F.col("n") / 1000), F.lit(256)).cast("int").alias("copies"))
-    templates = runs.groupBy("host").agg(F.array_sort(F.collect_list("run")).alias("runs")).join(copies, "host", "left")
-    templates = templates.select("host", "runs", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
-    placed = parsed.join(copies, "host", "left").withColumn("copy", F.pmod(F.xxhash64("page_id", "content"), F.coalesce("copies", F.lit(1))).cast("int"))
+    templates = runs.groupBy("host").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    if runs.count() <= FEW_RUNS:  # all templates go to the pages, which stay where they are
+        joined = parsed.join(F.broadcast(templates), "host", "left")
+    else:
+        # a host's template is at most 1 / share times as long as its pages are on average; large hosts take it in several copies
+        copies = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n > 1000").select("host", F.least(F.ceil(F.col("n") / 1000), F.lit(256)).cast("int").alias("copies"))
+        templates = templates.join(copies, "host", "left").select("host", "runs", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+        placed = parsed.join(copies, "host", "left").withColumn("copy", F.pmod(F.xxhash64("page_id", "content"), F.coalesce("copies", F.lit(1))).cast("int"))
+        joined = placed.join(templates, ["host", "copy"], "left")
 
     @F.pandas_udf("string")
     def clean(found: pd.Series, marked: pd.Series, runs: pd.Series) -> pd.Series:
         none = np.zeros(0, np.int64)
         return pd.Series([without_runs(unpacked(b), m, none if r is None else np.asarray(r, np.int64), min_run) for b, m, r in zip(found, marked, runs)], dtype=object)
 
-    found = placed.join(templates, ["host", "copy"], "left").select("page_id", "url", clean("packed", "marked", "runs").alias("text"))
+    found = joined.select("page_id", "url", clean("packed", "marked", "runs").alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from linewright.llm import html_extract
 from linewright.llm.html_extract import candidates, extract_text, page_blocks, repeated_runs
 
 SCHEMA = "page_id long, url string, html string, text string, host string, level string, open int"
@@ -119,3 +120,20 @@ def test_odd_markup():
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_pages_stay_where_they_are_for_few_templates(spark, monkeypatch):
+    """Few templates go to the pages without a shuffle of these; many are joined by host, with the same texts."""
+    menu = " ".join(f"menu{k}" for k in range(12))
+    rows = [(k, f"http://h{k % 3}.org/{k}", f"<body><p>{menu}</p><p>{' '.join(f'w{k}x{j}' for j in range(200))}</p></body>") for k in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = html_extract.extract_text(pages)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        few = {r["page_id"]: r["text"] for r in out.collect()}
+        monkeypatch.setattr(html_extract, "FEW_RUNS", 0)
+        many = {r["page_id"]: r["text"] for r in html_extract.extract_text(pages).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert few == many and len(few) == 30 and not any("menu" in t for t in few.values())
