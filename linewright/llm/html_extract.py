@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, pick, slices, stored, table, tidy_shuffles
+from .common import pick, slices, stored, table, tidy_shuffles
 from .url_filter import url_parts
 
 # Element names of HTML and words that sites use in class and id.
@@ -352,14 +352,19 @@ def template_windows(parsed: DataFrame, min_run: int, share: float, least: int,
             yield batch.take(pa.array(kept, pa.int64()))
 
     own = parsed.where("host != ''").select("host", "sig", "content", "packed")
-    parts = own.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).withColumn("parts", F.ceil(F.col("n") / F.lit(part_pages)).cast("int"))
-    dealt = join_hot(own.mapInArrow(once, own.schema), parts, "host", parsed.count()).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+    # pages are shuffled once: hosts of several parts, one for each part_pages rows at most, are broadcast, all others have one
+    large = own.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_pages).select("host", F.ceil(F.col("n") / F.lit(part_pages)).cast("int").alias("parts"))
+    dealt = own.mapInArrow(once, own.schema).join(F.broadcast(large), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
     dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "sig", "content", "packed").select("host", "part", "parts", "sig", "packed")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (host, _, parts), streams in _distinct_pages(_rows(batches, "host", "part", "parts", "sig", "packed")):
             enough = max(least if parts == 1 else 1, int(np.ceil(share * len(streams) - 1e-9)))
-            found = [window_hashes(streams[p][a : a + size], min_run) for p, a, size in repeated_runs(streams, enough, min_run)]
+            runs = repeated_runs(streams, enough, min_run) if len(streams) >= enough else []
+            if parts == 1 and not runs:
+                continue
+            found = [window_hashes(streams[p][a : a + size], min_run) for p, a, size in runs]
             found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
             n = len(found) + 1  # a row without a run says how many pages the part has
             yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array([parts] * n, pa.int32()), pa.array([None, *found.tolist()], pa.int64()), pa.array([len(streams)] * n, pa.int64())], names=["host", "parts", "run", "pages"])

@@ -137,3 +137,25 @@ def test_pages_stay_where_they_are_for_few_templates(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert few == many and len(few) == 30 and not any("menu" in t for t in few.values())
+
+
+def test_pages_are_shuffled_once_for_the_arrays(spark, monkeypatch):
+    """Hosts of one part and of several: no join shuffles the pages by host before they are dealt, and all parts find the same."""
+    plans, keep = [], html_extract.stored
+
+    def noted(df, **kw):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, **kw)
+
+    monkeypatch.setattr(html_extract, "stored", noted)
+    menu = [" ".join(f"menu{k}of{h}" for k in range(12)) for h in range(4)]
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(k, f"http://h{h}.org/{k}", f"<body><p>{menu[h]}</p><p>{own(k)}</p></body>", "", "") for k, h in enumerate([0] * 40 + [1] * 9 + [2] * 3 + [3] * 2)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [run(spark, rows, part_pages=size) for size in (400, 10)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [x for x in plans if "\n+- MapInArrow runs(" in x]
+    assert len(dealt) == 2 and not any("SortMergeJoin" in x or "ShuffledHashJoin" in x for x in dealt)
+    assert got[0] == got[1] and all(got[0][k][0] == (own(k) if k < 52 else f"{menu[3]}\n{own(k)}") for k in range(54))
