@@ -357,6 +357,67 @@ def _may_be_near(x: str, y: str, most: int, width: int = 3) -> bool:
     return sum((a & b).values()) >= need
 
 
+PIECE, _AT_ONCE = 64, 4096  # characters of a piece, one bit each; pieces that are searched for at once
+
+
+def least_edits(xs: list[str], ys: list[str], mosts: np.ndarray) -> np.ndarray:
+    """For each pair (x not empty) a number of edits that is not above the edit distance, if that is not above ``mosts``.
+
+    Each x is cut into pieces of up to ``PIECE`` characters. A way of ``most`` edits that ends ``d`` places off its start is never more
+    than (most - |d|) / 2 places off both, so it takes each piece to a part of y's window around it. The edits to the nearest part of
+    the window, by bit vectors over the piece, add up to the bound. Characters are told apart by 64 classes: more agree, never fewer.
+    """
+    m, n = (np.fromiter(map(len, t), np.int64, len(t)) for t in (xs, ys))
+    x, y = (np.frombuffer("".join(t).encode("utf-32-le", "surrogatepass"), np.uint32) for t in (xs, ys))
+    x, y = (((c ^ (c >> np.uint32(6))) & np.uint32(63)).astype(np.int64) for c in (x, y))
+    count = -(-m // PIECE)
+    pair = np.repeat(np.arange(len(m)), count)
+    number = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
+    begin, end = m[pair] * number // count[pair], m[pair] * (number + 1) // count[pair]
+    off = n - m
+    spare = np.maximum(mosts - np.abs(off), 0) // 2
+    first = np.maximum(0, begin + (np.minimum(off, 0) - spare)[pair])
+    last = np.minimum(n[pair], end + (np.maximum(off, 0) + spare)[pair])
+    steps = np.maximum(last - first, 0)
+    from_x, from_y = (np.cumsum(m) - m)[pair] + begin, (np.cumsum(n) - n)[pair] + first
+    size, best = end - begin, np.empty(len(pair), np.int64)
+    order = np.argsort(-steps, kind="stable")
+    for at in range(0, len(order), _AT_ONCE):
+        own = order[at : at + _AT_ONCE]
+        best[own] = _nearest(x, from_x[own], size[own], y, from_y[own], steps[own])
+    return np.bincount(pair, best, len(m)).astype(np.int64)
+
+
+def _nearest(x: np.ndarray, from_x: np.ndarray, size: np.ndarray, y: np.ndarray, from_y: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Edits from each piece of x to the nearest part of its window of y; windows in order of falling length."""
+    rows = np.arange(len(size)) * 64
+    equal = np.zeros(64 * len(size), np.uint64)  # by piece and class: the places of the class in the piece
+    for k in range(int(size.max())):
+        some = np.flatnonzero(size > k)
+        equal[rows[some] + x[from_x[some] + k]] |= np.uint64(1 << k)
+    one, top = np.uint64(1), (size - 1).astype(np.uint64)
+    up, down = np.full(len(size), ~np.uint64(0)), np.zeros(len(size), np.uint64)
+    score = size.copy()
+    best = size.copy()
+    lasting = np.searchsorted(-steps, -np.arange(int(steps.max(initial=0))), side="left")  # windows that are longer than so many steps
+    for t, live in enumerate(lasting.tolist()):
+        if live < len(up):
+            up, down, score, top = up[:live], down[:live], score[:live], top[:live]
+        same = equal[rows[:live] + y[from_y[:live] + t]]
+        step = (((same & up) + up) ^ up) | same
+        more = down | ~(step | up)
+        less = up & step
+        score += ((more >> top) & one).view(np.int64)
+        score -= ((less >> top) & one).view(np.int64)
+        more <<= one
+        less <<= one
+        flat = same | down
+        up = less | ~(flat | more)
+        down = more & flat
+        np.minimum(best[:live], score, out=best[:live])
+    return best
+
+
 def similar_pairs(pairs: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
     """Those pairs whose normal forms (id, form) are alike enough.
 
@@ -365,13 +426,19 @@ def similar_pairs(pairs: DataFrame, forms: DataFrame, similarity: float) -> Data
 
     @F.pandas_udf("struct<x:string,y:string>")
     def trimmed(xs: pd.Series, ys: pd.Series, mosts: pd.Series) -> pd.DataFrame:
-        def one(x: str, y: str, most: int) -> tuple[str | None, str | None]:
-            cut = _trim(x, y)
+        cuts: list[tuple[str | None, str | None]] = [_trim(*t) for t in zip(xs, ys)]
+        left = []  # pairs that neither are alike for certain nor differ in one place alone
+        for k, (cut, most) in enumerate(zip(cuts, mosts)):
             if max(map(len, cut)) <= most or _bound(*cut, most) <= most:
-                return "", ""
-            return cut if _may_be_near(x, y, most) else (None, None)
-
-        return pd.DataFrame([one(*t) for t in zip(xs, ys, mosts)], columns=["x", "y"], dtype=object)
+                cuts[k] = "", ""
+            elif min(map(len, cut)):
+                left.append(k)
+        most = mosts.to_numpy(np.int64)[left]
+        far = least_edits([cuts[k][0] for k in left], [cuts[k][1] for k in left], most) > most
+        for k, out in zip(left, far.tolist()):
+            if out or max(map(len, cuts[k])) < PIECE and not _may_be_near(*cuts[k], int(mosts.iloc[k])):
+                cuts[k] = None, None
+        return pd.DataFrame(cuts, columns=["x", "y"], dtype=object)
 
     both = pairs.join(forms.select(F.col("id").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("id").alias("b"), F.col("form").alias("y")), "b")
     longer = F.greatest(F.length("x"), F.length("y"))

@@ -281,3 +281,43 @@ def test_shared_runs_never_rule_out_a_near_pair():
         assert _bound(x, y, most, 3) > most or distance(x, y) <= _bound(x, y, most, 3)
         ruled += not may
     assert ruled > 200
+
+
+def test_pieces_rule_out_unlike_lines_and_never_a_near_pair():
+    """Lines of the same words in another order share most runs of characters; pieces, which stay near their place, tell them apart."""
+    rng = random.Random(51)
+    for _ in range(600):
+        x = "".join(rng.choices("abcdé", k=rng.randint(1, 200)))
+        y = list(x)
+        for _ in range(rng.randint(0, 40)):
+            at = rng.randint(0, len(y))
+            y[at : at + rng.randint(0, 3)] = rng.choices("abcd二", k=rng.randint(0, 3))
+        y = "".join(y)
+        for most in (distance(x, y), distance(x, y) + 3):
+            assert line_dedup.least_edits([x], [y], np.array([most]))[0] <= distance(x, y)
+    pool = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 6))) for _ in range(30)]
+    xs, ys = ([" ".join(rng.sample(pool, 30) * 2) for _ in range(40)] for _ in range(2))
+    mosts = np.array([max(len(x), len(y)) // 5 for x, y in zip(xs, ys)])
+    assert all(distance(x, y) > k for x, y, k in zip(xs, ys, mosts))
+    ruled = line_dedup.least_edits(xs, ys, mosts) > mosts
+    runs = [not _may_be_near(x, y, int(k)) for x, y, k in zip(xs, ys, mosts)]
+    assert ruled.sum() >= 38 and not any(runs)
+    assert not len(line_dedup.least_edits([], [], np.zeros(0, np.int64)))
+
+
+def test_pairs_by_edit_distance_alone(spark):
+    """Of pairs around the limit, in characters of all widths, exactly those stay that an edit distance lets stay."""
+    rng, forms, want = random.Random(52), [], []
+    for k in range(200):
+        x = "".join(rng.choices("abcdef é二𝄞", k=rng.randint(5, 300)))
+        y = list(x)
+        for _ in range(int(len(x) * rng.uniform(0.15, 0.5))):
+            at = rng.randint(0, len(y))
+            y[at : at + rng.randint(0, 1)] = rng.choices("abcdef é二𝄞", k=rng.randint(0, 1))
+        y = "".join(y)
+        forms += [(2 * k, x), (2 * k + 1, y)]
+        if distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9):
+            want.append(2 * k)
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(200)], "a long, b long")
+    got = [r["a"] for r in line_dedup.similar_pairs(pairs, spark.createDataFrame(forms, "id long, form string"), 0.8).collect()]
+    assert sorted(got) == want and 30 < len(want) < 170
