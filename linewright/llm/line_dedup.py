@@ -84,7 +84,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def _occurrences(features: np.ndarray, line: np.ndarray) -> np.ndarray:
     """How often each feature stood in its line before."""
     key = features ^ _mixed(line.astype(np.uint64) + np.uint64(1))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # equal ones in any order: only how often each stands in its line counts
     ranked = key[order]
     at = np.arange(len(key))
     first = np.maximum.accumulate(np.where(np.concatenate([[True], ranked[1:] != ranked[:-1]]), at, 0))
@@ -358,6 +358,7 @@ def _may_be_near(x: str, y: str, most: int, width: int = 3) -> bool:
 
 
 PIECE, _AT_ONCE = 64, 4096  # characters of a piece, one bit each; pieces that are searched for at once
+_HELD = 1 << 20  # characters of pairs that wait for their edit distances
 
 
 def least_edits(xs: list[str], ys: list[str], mosts: np.ndarray) -> np.ndarray:
@@ -418,35 +419,154 @@ def _nearest(x: np.ndarray, from_x: np.ndarray, size: np.ndarray, y: np.ndarray,
     return best
 
 
+_WORDS = 1 << 20  # numbers of a table of the places of characters
+
+
+def edit_distance(x: str, y: str) -> int:
+    """By bit vectors over x (not empty), in whole numbers of any size."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << k
+    full, top, score = (1 << len(x)) - 1, 1 << (len(x) - 1), len(x)
+    up, down = full, 0
+    for c in y:
+        same = at.get(c, 0)
+        step = (((same & up) + up) ^ up) | same | down
+        more, less = down | (full & ~(step | up)), up & step
+        score += 1 if more & top else -1 if less & top else 0
+        more, less = (more << 1 | 1) & full, (less << 1) & full
+        up, down = less | (full & ~(step | more)), more & step
+    return score
+
+
+def within_edits(xs: list[str], ys: list[str], mosts: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair (neither empty) is at most ``mosts``: exactly.
+
+    Pairs whose bands take equally many 64-bit numbers go side by side; few and wide ones go one by one, without a band.
+    """
+    both = [(x, y) if len(x) >= len(y) else (y, x) for x, y in zip(xs, ys)]
+    m, n = (np.fromiter((len(t[k]) for t in both), np.int64, len(both)) for k in (0, 1))
+    out = m - n <= mosts
+    side = np.maximum(mosts - (m - n), 0) // 2  # a way of ``most`` edits from corner to corner is never further off both
+    width = -(-(m - n + 2 * side + 1) // 64)
+    left = np.flatnonzero(out)
+    left = left[np.lexsort((-n[left], width[left]))]
+    while len(left):
+        words, longest = int(width[left[0]]), int(m[left[0]])
+        some = left[: max(1, _WORDS // (40 * (longest // 64 + words + 2)))]
+        some = some[width[some] == words]
+        left = left[len(some) :]
+        x, y = ([both[k][i] for k in some.tolist()] for i in (0, 1))
+        if len(some) < 24 * words:
+            out[some] = np.fromiter(map(edit_distance, x, y), np.int64, len(some)) <= mosts[some]
+        else:
+            out[some] = _within_band(x, y, side[some], mosts[some], words)
+    return out
+
+
+def _within_band(xs: list[str], ys: list[str], side: np.ndarray, mosts: np.ndarray, words: int) -> np.ndarray:
+    """``within_edits`` of pairs in order of falling lengths of y, none longer than its x; the band goes ``side`` diagonals past the last corner's.
+
+    The band is a column of ``words`` numbers that moves one row down with each character of y. Its bits are the differences of
+    neighbours in the column, and the score is that of the last corner's diagonal, which never falls.
+    """
+    m, n = (np.fromiter(map(len, t), np.int64, len(t)) for t in (xs, ys))
+    x, y = (np.frombuffer("".join(t).encode("utf-32-le", "surrogatepass"), np.uint32) for t in (xs, ys))
+    seen = np.zeros(int(max(x.max(), y.max())) + 1, bool)
+    seen[x] = True
+    number = np.cumsum(seen) * seen  # 0: in no x
+    kinds = int(seen.sum()) + 1
+    bit = 64 * words - 1 - side  # of the last corner's diagonal
+    above = bit - (m - n)  # bits over the first row when y begins
+    place = np.arange(len(x)) + np.repeat(above - (np.cumsum(m) - m), m)
+    equal = np.zeros((max(int((above + m).max()), int(n.max())) // 64 + words + 2, len(m) * kinds), np.uint64)
+    cell = (place >> 6) * equal.shape[1] + np.repeat(np.arange(len(m)) * kinds, m) + number[x]
+    np.add.at(equal.reshape(-1), cell, np.uint64(1) << (place & 63).astype(np.uint64))  # each bit once
+    y, start, own = number[y], np.cumsum(n) - n, np.arange(len(m)) * kinds
+    one, last = np.uint64(1), np.uint64(63)
+    empty = np.clip(above - 64 * np.arange(words)[:, None], 0, 64)
+    up = np.where(empty > 63, np.uint64(0), ~np.uint64(0) << np.minimum(empty, 63).astype(np.uint64))
+    down = np.zeros_like(up)
+    live, score, out = np.arange(len(m)), m - n, np.zeros(len(m), bool)
+    for t in range(int(n[0])):
+        if t % 32 == 0 or n[live[-1]] <= t:
+            ended = n[live] <= t
+            out[live[ended]] = score[ended] <= mosts[live[ended]]
+            stay = ~ended & (score <= mosts[live])
+            live, score, up, down = live[stay], score[stay], up[:, stay], down[:, stay]
+            if not len(live):
+                break
+            at, word, rest = np.arange(len(live)), bit[live] >> 6, (bit[live] & 63).astype(np.uint64)
+        row = own[live] + y[start[live] + t]
+        number_of, shift = divmod(t, 64)
+        held = [equal[number_of + w][row] for w in range(words + (shift > 0))]
+        carry = np.zeros(len(live), np.uint64)
+        step, more, less = np.empty_like(up), np.empty_like(up), np.empty_like(up)
+        for w in range(words):
+            same = held[w] >> np.uint64(shift) | held[w + 1] << np.uint64(64 - shift) if shift else held[w]
+            part = (same & up[w]) + up[w]
+            total = part + carry
+            carry = ((part < up[w]) | (total < part)).astype(np.uint64)
+            step[w] = (total ^ up[w]) | same | down[w]
+            more[w] = down[w] | ~(step[w] | up[w])
+            less[w] = up[w] & step[w]
+        score += 1 - (step[word, at] >> rest & one).view(np.int64)
+        down_one = step >> one
+        down_one[:-1] |= step[1:] << last
+        up, down = less | ~(down_one | more), down_one & more
+    out[live] = score <= mosts[live]
+    return out
+
+
 def similar_pairs(pairs: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
     """Those pairs whose normal forms (id, form) are alike enough.
 
-    A pair for which one way with few enough edits is found at once, or none can be, needs no edit distance.
+    A pair for which one way with few enough edits is found at once, or none can be, needs no edit distance. Of the others
+    some hundreds to thousands are decided at once.
     """
 
-    @F.pandas_udf("struct<x:string,y:string>")
-    def trimmed(xs: pd.Series, ys: pd.Series, mosts: pd.Series) -> pd.DataFrame:
-        cuts: list[tuple[str | None, str | None]] = [_trim(*t) for t in zip(xs, ys)]
-        left = []  # pairs that neither are alike for certain nor differ in one place alone
-        for k, (cut, most) in enumerate(zip(cuts, mosts)):
-            if max(map(len, cut)) <= most or _bound(*cut, most) <= most:
-                cuts[k] = "", ""
-            elif min(map(len, cut)):
-                left.append(k)
-        most = mosts.to_numpy(np.int64)[left]
-        far = least_edits([cuts[k][0] for k in left], [cuts[k][1] for k in left], most) > most
-        for k, out in zip(left, far.tolist()):
-            if out or max(map(len, cuts[k])) < PIECE and not _may_be_near(*cuts[k], int(mosts.iloc[k])):
-                cuts[k] = None, None
-        return pd.DataFrame(cuts, columns=["x", "y"], dtype=object)
+    names = pairs.columns
+
+    def decided(held: list[tuple[pa.RecordBatch, list[str], list[str], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        xs, ys = (list(chain.from_iterable(h[k] for h in held)) for k in (1, 2))
+        near, at = within_edits(xs, ys, np.concatenate([h[3] for h in held])), 0
+        for rows, *_ in held:
+            yield rows.filter(pa.array(near[at : at + rows.num_rows]))
+            at += rows.num_rows
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            rows = batch.select(names)
+            xs, ys = (batch.column(c).to_pylist() for c in "xy")
+            longer = np.fromiter((max(len(x), len(y)) for x, y in zip(xs, ys)), np.int64, len(xs))
+            most = np.floor(longer * (1 - similarity) + 1e-9).astype(np.int64)
+            near, left, cuts = [], [], []  # alike for certain; neither that nor different in one place alone
+            for k, (x, y, own) in enumerate(zip(xs, ys, most.tolist())):
+                if abs(len(x) - len(y)) > own:
+                    continue
+                cut = _trim(x, y)
+                if max(map(len, cut)) <= own or _bound(*cut, own) <= own:
+                    near.append(k)
+                elif min(map(len, cut)):
+                    left.append(k)
+                    cuts.append(cut)
+            yield rows.take(pa.array(near, pa.int64()))
+            most = most[left]
+            may = least_edits([x for x, _ in cuts], [y for _, y in cuts], most) <= most
+            may &= np.fromiter((max(map(len, cut)) >= PIECE or _may_be_near(*cut, own) for cut, own in zip(cuts, most.tolist())), bool, len(cuts))
+            may = np.flatnonzero(may)
+            cuts = [cuts[k] for k in may.tolist()]
+            held.append((rows.take(pa.array(np.array(left, np.int64)[may])), [x for x, _ in cuts], [y for _, y in cuts], most[may]))
+            size += sum(len(x) + len(y) for x, y in cuts)
+            if size > _HELD:
+                yield from decided(held)
+                held, size = [], 0
+        if held:
+            yield from decided(held)
 
     both = pairs.join(forms.select(F.col("id").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("id").alias("b"), F.col("form").alias("y")), "b")
-    longer = F.greatest(F.length("x"), F.length("y"))
-    most = F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
-    both = both.withColumn("most", most).where(F.least(F.length("x"), F.length("y")) + F.col("most") >= longer)
-    cut = both.select(*pairs.columns, "most", trimmed("x", "y", "most").alias("t"))
-    few = F.greatest(F.length("t.x"), F.length("t.y")) <= F.col("most")  # the rest differs by its length at most
-    return cut.where(few | (F.expr("levenshtein(t.x, t.y, most)") >= 0)).select(*pairs.columns)
+    return both.mapInArrow(alike, both.select(*names).schema)
 
 
 def line_forms(ids: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:

@@ -321,3 +321,44 @@ def test_pairs_by_edit_distance_alone(spark):
     pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(200)], "a long, b long")
     got = [r["a"] for r in line_dedup.similar_pairs(pairs, spark.createDataFrame(forms, "id long, form string"), 0.8).collect()]
     assert sorted(got) == want and 30 < len(want) < 170
+
+
+def test_edit_distances_side_by_side_are_exact():
+    """Pairs at, under and over their limits, in bands of one number and of many, few and many at once, in characters of all widths."""
+    rng = random.Random(53)
+    for size, pairs in ((1, 40), (60, 300), (200, 300), (700, 150), (3000, 5)):
+        xs, ys = [], []
+        for _ in range(pairs):
+            x = "".join(rng.choices("abcdé 二𝄞", k=rng.randint(1, size)))
+            y = list(x)
+            for _ in range(rng.randint(0, len(x) // 2 + 1)):
+                at = rng.randint(0, len(y))
+                y[at : at + rng.randint(0, 1)] = rng.choices("abcd xé", k=rng.randint(0, 1))
+            xs.append(x)
+            ys.append("".join(y) or "q")
+        found = np.array([distance(x, y) for x, y in zip(xs, ys)])
+        assert [line_dedup.edit_distance(x, y) for x, y in zip(xs, ys)] == found.tolist()
+        for more in (-1, 0, 1, 7):
+            most = np.maximum(found + more, 0)
+            assert (line_dedup.within_edits(xs, ys, most) == (found <= most)).all()
+    assert not len(line_dedup.within_edits([], [], np.zeros(0, np.int64)))
+
+
+def test_pairs_that_many_batches_hold_are_all_decided(spark, monkeypatch):
+    """Pairs that wait for their edit distances are decided together, whatever the batch they came in, with what rides along."""
+    monkeypatch.setattr(line_dedup, "_HELD", 3000)
+    rng, forms, want = random.Random(54), [], []
+    for k in range(300):
+        x = "".join(rng.choices("abcdef", k=rng.randint(100, 200)))
+        y = "".join(rng.choice("ghijk") if rng.random() < rng.choice((0.15, 0.25)) else c for c in x)
+        forms += [(2 * k, x), (2 * k + 1, y)]
+        if distance(x, y) <= int(len(x) * 0.2 + 1e-9):
+            want.append((2 * k, 2 * k + 1, 7 * k, -k))
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1, 7 * k, -k) for k in range(300)], "a long, b long, ga long, gb long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = [tuple(r) for r in line_dedup.similar_pairs(pairs, spark.createDataFrame(forms, "id long, form string"), 0.8).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(got) == want and 60 < len(want) < 240
