@@ -64,24 +64,8 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
-def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word (as ``words`` gives them) of a string column, in order, and how many each text has.
-
-    A word's hash is a polynomial of its bytes, taken from running sums over all texts at once, and then mixed.
-    """
-    flat, at = text_bytes(column)
-    norm = _WORD_TABLE[flat]
-    inside = norm != 32
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    first = at[:-1][(at[:-1] < at[1:])]
-    begins[first] = inside[first]  # words do not go on from one text to the next
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    last = at[1:][(at[:-1] < at[1:])] - 1
-    ends[last] = inside[last]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    counts = np.diff(np.searchsorted(start, at))
+def hashed_spans(norm: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each ``start`` to its ``stop``: spans in order that do not overlap."""
     up, down = _powers()
     out = np.empty(len(start), np.uint64)
     k = 0
@@ -100,7 +84,28 @@ def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(29)
-    return out, counts
+    return out
+
+
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (as ``words`` gives them) of a string column, in order, and how many each text has.
+
+    A word's hash is a polynomial of its bytes, taken from running sums over all texts at once, and then mixed.
+    """
+    flat, at = text_bytes(column)
+    norm = _WORD_TABLE[flat]
+    inside = norm != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = at[:-1][(at[:-1] < at[1:])]
+    begins[first] = inside[first]  # words do not go on from one text to the next
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    last = at[1:][(at[:-1] < at[1:])] - 1
+    ends[last] = inside[last]
+    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    counts = np.diff(np.searchsorted(start, at))
+    return hashed_spans(norm, start, stop), counts
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -140,14 +145,14 @@ def _small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def stored(df: DataFrame, keep: bool = True) -> DataFrame:
+def stored(df: DataFrame, keep: bool = True, batch: int = 1000) -> DataFrame:
     """``df`` written once to the shared folder and read again: its lineage ends there and lost executors cost no recomputation.
 
-    The table goes when the driver's process ends, or by ``drop_stored``.
+    The table goes when the driver's process ends, or by ``drop_stored``. Python workers get at most ``batch`` rows at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linewright-{uuid.uuid4().hex}"
-    with _small_batches(spark):
+    with _small_batches(spark, batch):
         df.write.option("compression", "zstd").parquet(path)
     if keep:
         atexit.register(_at_exit, spark, path)
@@ -163,18 +168,18 @@ def keep_until_exit(df: DataFrame) -> None:
 _ONE_TASK = 150_000
 
 
-def join_hot(rows: DataFrame, dims: DataFrame, key: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``dims``: one row for each key, whose ``n`` (dropped) says how many of about ``total`` rows have it.
+def join_hot(rows: DataFrame, dims: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (inner or left_semi) of ``rows`` with ``dims``: one row for each key, whose ``n`` (dropped) says how many of about ``total`` rows have it.
 
     Keys with over a thousandth of the rows are joined by a broadcast: as ``n`` adds up to at most 2 * ``total``, they are
     2,000 at most, whatever the data, so ``dims`` should hold numbers only. All other keys are shuffled.
     """
     if total < _ONE_TASK:  # whatever key they share, so few rows fit into any task
-        return rows.join(dims.drop("n"), key)
+        return rows.join(dims.drop("n"), key, how)
     often = F.col("n") > F.lit(total // 1000)
     heavy = F.broadcast(dims.where(often).drop("n"))
-    light = rows.join(heavy.select(key), key, "left_anti").join(dims.where(~often).drop("n"), key)
-    return light.unionByName(rows.join(heavy, key))
+    light = rows.join(heavy.select(key), key, "left_anti").join(dims.where(~often).drop("n"), key, how)
+    return light.unionByName(rows.join(heavy, key, how))
 
 
 def drop_stored(df: DataFrame) -> None:

@@ -33,12 +33,11 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, drop_stored, join_hot, slices, stored, table, tidy_shuffles
+from .common import WORD_BYTES, drop_stored, hashed_spans, join_hot, slices, stored, table, tidy_shuffles
 from .graph import components
 
 PLACES, PER, LEAST = 12, 3, 3  # blocks posted; features a block; features that a posted block holds
@@ -105,16 +104,18 @@ def hashed_features(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(hashes + _occurrences(hashes, np.repeat(np.arange(len(lines)), length))), length
 
 
-def simhashes(features: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Bits set in over half of the hashes of each line's features (none may be without)."""
+def simhashes(features: np.ndarray, length: np.ndarray, width: int = 8) -> np.ndarray:
+    """Bits set in over half of the hashes of each line's features (none may be without), in the first ``width`` bytes; no others are set."""
     starts = np.cumsum(length) - length
     # up to 255 features are summed in byte lanes, eight bits to a number; such blocks are then summed for each line
     blocks = -(-length // 255)
     first = np.cumsum(blocks) - blocks
     begins = np.repeat(starts - 255 * first, blocks) + 255 * np.arange(blocks.sum())
-    lanes = np.add.reduceat(_SPREAD[features.view(np.uint8).reshape(-1, 8)], begins, axis=0)
-    ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 64), first, axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > length[:, None], axis=1).reshape(-1, 8).view(">i8")[:, 0].astype(np.int64)
+    lanes = np.add.reduceat(_SPREAD[features.view(np.uint8).reshape(-1, 8)[:, :width]], begins, axis=0)
+    ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8 * width), first, axis=0, dtype=np.int64)
+    out = np.zeros((len(length), 8), np.uint8)
+    out[:, :width] = np.packbits(2 * ones > length[:, None], axis=1)
+    return out.view(">i8")[:, 0].astype(np.int64)
 
 
 def block_keys(features: np.ndarray, length: np.ndarray, places: int = PLACES) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +161,47 @@ def line_keys(features: np.ndarray, length: np.ndarray, short: np.ndarray) -> tu
     return np.bincount(owner, minlength=len(length)), key[np.argsort(owner, kind="stable")].view(np.int64)
 
 
+def _normal_buffer(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that ``normal_lines`` splits, of all texts, each with a newline after it; and how many lines each text has."""
+    found = [(t or "").lower().encode("utf-8", "surrogatepass").translate(_NORMAL) for t in texts]
+    return np.frombuffer(b"\n".join([*found, b""]), np.uint8), np.fromiter((t.count(b"\n") + 1 for t in found), np.int64, len(found))
+
+
+def _buffer_lines(flat: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line with words: its place, normal form, size in characters, whether it is short, its hashed features (in order of lines) and how many.
+
+    Words are hashed in place; runs of characters, of short lines and long words alone, are cut out.
+    """
+    inside = (flat != 32) & (flat != 10)
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, stop = edges[::2], edges[1::2]
+    number = (np.cumsum(flat == 10) - (flat == 10))[start]  # of each word's line
+    first = np.flatnonzero(np.diff(number, prepend=-1))
+    place, count = number[first], np.diff(np.append(first, len(number)))
+    line = np.repeat(np.arange(len(place)), count)
+    kept = inside.copy()
+    kept[stop[:-1][line[1:] == line[:-1]]] = True  # one space between words
+    ends = np.cumsum(np.add.reduceat(kept, start[first], dtype=np.int64)) if len(first) else np.zeros(0, np.int64)
+    begins = np.concatenate([[0], ends])[: len(ends)]
+    squeezed = flat[kept]
+    sizes = np.add.reduceat((squeezed & 0xC0) != 0x80, begins, dtype=np.int64) if len(first) else begins  # all bytes but those that go on with a character
+    whole = squeezed.tobytes()
+    forms = [whole[x:y] for x, y in zip(begins.tolist(), ends.tolist())]
+    short, long = count < SHORT, stop - start > 20
+    words = ~short[line] & ~long
+    hashes = hashed_spans(flat, start[words], stop[words])
+    of_words = np.bincount(line[words], minlength=len(place))
+    hashes = _mixed(hashes + _occurrences(hashes, line[words])) if len(hashes) else hashes
+    cut = np.flatnonzero(short | (np.bincount(line[long], minlength=len(place)) > 0))
+    runs, of_runs = hashed_features([line_features(w) if len(w) < SHORT else [x for v in w if len(v) > 20 for x in _runs(v, 4)] for w in (forms[k].split() for k in cut.tolist())])
+    length = of_words.copy()
+    length[cut] += of_runs
+    features, begins = np.empty(length.sum(), np.uint64), np.cumsum(length) - length
+    for found, owners, own, after in ((hashes, np.arange(len(place)), of_words, 0), (runs, cut, of_runs, of_words[cut])):
+        features[np.arange(len(found)) + np.repeat(begins[owners] + after - (np.cumsum(own) - own), own)] = found
+    return place, forms, sizes, short, features, length
+
+
 def fuzzy_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), line, id (hash of the normal form), fp, more (40 bits of its SimHash over its size in characters) and keys of each line that is not empty."""
 
@@ -167,25 +209,17 @@ def fuzzy_lines(docs: DataFrame) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         for batch in slices(batches, "text", 2 << 20):
-            docs, hashes, numbers, kept = [], [], [], []
-            for doc, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text"))):
-                for number, found in enumerate(normal_lines(text or "")):
-                    if found:
-                        docs.append(doc)
-                        hashes.append(th)
-                        numbers.append(number)
-                        kept.append(found)
-            if not kept:
+            flat, count = _normal_buffer(batch.column("text").to_pylist())
+            place, forms, sizes, short, features, length = _buffer_lines(flat)
+            if not len(place):
                 continue
-            forms = list(map(b" ".join, kept))
-            ids = np.fromiter(map(xxh64_intdigest, forms), np.uint64, len(kept)).view(np.int64)
-            # characters: all bytes but those that go on with one
-            sizes = [len(x) if x.isascii() else len(x.decode("utf-8", "surrogatepass")) for x in forms]
-            features, length = hashed_features([line_features(x) for x in kept])
-            posted, keys = line_keys(features, length, np.fromiter((len(x) < SHORT for x in kept), bool, len(kept)))
+            doc = np.searchsorted(np.cumsum(count), place, side="right")
+            ids = np.fromiter(map(xxh64_intdigest, forms), np.uint64, len(forms)).view(np.int64)
+            posted, keys = line_keys(features, length, short)
             ends = np.concatenate([[0], np.cumsum(posted)]).astype(np.int32)
-            columns = {"doc_id": pa.array(docs, pa.int64()), "th": pa.array(hashes, pa.int64()), "line": pa.array(numbers, pa.int32()), "id": pa.array(ids)}
-            more = simhashes(_mixed(features), length) & ~_MOST | np.minimum(np.array(sizes, np.int64), _MOST)
+            columns = {c: batch.column(c).take(pa.array(doc)) for c in ("doc_id", "th")}
+            columns |= {"line": pa.array((place - (np.cumsum(count) - count)[doc]).astype(np.int32)), "id": pa.array(ids)}
+            more = simhashes(_mixed(features), length, (BITS - 64) // 8) & ~_MOST | np.minimum(sizes, _MOST)
             columns |= {"fp": pa.array(simhashes(features, length)), "more": pa.array(more), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -223,6 +257,8 @@ def met_in_blocks(lines: DataFrame, similarity: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             ids, fps, more, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "fp", "more", "key"))
+            order = np.lexsort((ids, keys))
+            ids, fps, more, keys = ids[order], fps[order], more[order], keys[order]
             begins = np.append(True, keys[1:] != keys[:-1])
             at = np.flatnonzero(begins)
             number = np.cumsum(begins) - 1
@@ -249,7 +285,7 @@ def met_in_blocks(lines: DataFrame, similarity: float) -> DataFrame:
             arrays = [kind, ids[taken], other, fps[taken], more[taken], keys[taken]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["kind", "a", "b", "fp", "more", "key"])
 
-    dealt = posts.repartitionByRange(F.col("key"), F.col("id")).sortWithinPartitions("key", "id")
+    dealt = posts.repartitionByRange(F.col("key"), F.col("id")).sortWithinPartitions("key")  # by one number, as a radix sort can
     return dealt.mapInArrow(meet, MET_SCHEMA)
 
 
@@ -262,15 +298,15 @@ def first_pairs(met: DataFrame, similarity: float) -> DataFrame:
     return met.where(F.col("kind") == PAIR).select("a", "b").unionByName(across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))).distinct()
 
 
-def mixed_posts(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """The posts of ``met`` (id, fp, more, key, group, lines) in crowded blocks that hold several groups; lines: of the block.
+def mixed_posts(met: DataFrame, groups: DataFrame, counted: bool = True) -> DataFrame:
+    """The posts of ``met`` (id, fp, more, key, group, and, if ``counted``, lines) in crowded blocks that hold several groups; lines: of the block.
 
     ``groups`` (id, component) names lines with links; a line without is its own group.
     """
     posts = met.where(F.col("kind") == POST).select(F.col("a").alias("id"), "fp", "more", "key").join(groups, "id", "left")
     posts = posts.select("id", "fp", "more", "key", F.coalesce("component", "id").alias("group"))
     mixed = posts.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high").select("key", "n", F.col("n").alias("lines"))
-    return stored(join_hot(posts, mixed, "key", met.count()))
+    return stored(join_hot(posts, mixed, "key", met.count(), "inner" if counted else "left_semi"))
 
 
 def _ordered(met: DataFrame) -> DataFrame:
@@ -282,7 +318,7 @@ def _ordered(met: DataFrame) -> DataFrame:
 
 def pairs_between(met: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """Likely pairs (a, b) of a crowded block's centres and its other lines that are in different groups (ga, gb). Blocks of one group go first."""
-    posts = mixed_posts(met, groups)
+    posts = mixed_posts(met, groups, counted=False)
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id"))
     centres = posts.withColumn("place", place).where(F.col("place") <= CENTRES).drop("place")
     x, y = centres.alias("a"), posts.alias("b")
@@ -358,7 +394,7 @@ def _may_be_near(x: str, y: str, most: int, width: int = 3) -> bool:
 
 
 PIECE, _AT_ONCE = 64, 4096  # characters of a piece, one bit each; pieces that are searched for at once
-_HELD = 1 << 20  # characters of pairs that wait for their edit distances
+_HELD = 1 << 22  # characters of pairs that wait for their edit distances
 
 
 def least_edits(xs: list[str], ys: list[str], mosts: np.ndarray) -> np.ndarray:
@@ -521,15 +557,20 @@ def _within_band(xs: list[str], ys: list[str], side: np.ndarray, mosts: np.ndarr
 def similar_pairs(pairs: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
     """Those pairs whose normal forms (id, form) are alike enough.
 
-    A pair for which one way with few enough edits is found at once, or none can be, needs no edit distance. Of the others
-    some hundreds to thousands are decided at once.
+    A pair for which one way with few enough edits is found at once, or none can be, needs no edit distance. The others wait
+    until some hundreds to thousands are there, which are decided side by side.
     """
 
     names = pairs.columns
 
-    def decided(held: list[tuple[pa.RecordBatch, list[str], list[str], np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        xs, ys = (list(chain.from_iterable(h[k] for h in held)) for k in (1, 2))
-        near, at = within_edits(xs, ys, np.concatenate([h[3] for h in held])), 0
+    def decided(held: list[tuple[pa.RecordBatch, list[tuple[str, str]], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        cuts, most = [cut for h in held for cut in h[1]], np.concatenate([h[2] for h in held])
+        near = least_edits([x for x, _ in cuts], [y for _, y in cuts], most) <= most
+        near &= np.fromiter((max(map(len, cut)) >= PIECE or _may_be_near(*cut, own) for cut, own in zip(cuts, most.tolist())), bool, len(cuts))
+        left = np.flatnonzero(near)
+        cuts = [cuts[k] for k in left.tolist()]
+        near[left] = within_edits([x for x, _ in cuts], [y for _, y in cuts], most[left])
+        at = 0
         for rows, *_ in held:
             yield rows.filter(pa.array(near[at : at + rows.num_rows]))
             at += rows.num_rows
@@ -552,12 +593,7 @@ def similar_pairs(pairs: DataFrame, forms: DataFrame, similarity: float) -> Data
                     left.append(k)
                     cuts.append(cut)
             yield rows.take(pa.array(near, pa.int64()))
-            most = most[left]
-            may = least_edits([x for x, _ in cuts], [y for _, y in cuts], most) <= most
-            may &= np.fromiter((max(map(len, cut)) >= PIECE or _may_be_near(*cut, own) for cut, own in zip(cuts, most.tolist())), bool, len(cuts))
-            may = np.flatnonzero(may)
-            cuts = [cuts[k] for k in may.tolist()]
-            held.append((rows.take(pa.array(np.array(left, np.int64)[may])), [x for x, _ in cuts], [y for _, y in cuts], most[may]))
+            held.append((rows.take(pa.array(left, pa.int64())), cuts, most[left]))
             size += sum(len(x) + len(y) for x, y in cuts)
             if size > _HELD:
                 yield from decided(held)
@@ -570,30 +606,34 @@ def similar_pairs(pairs: DataFrame, forms: DataFrame, similarity: float) -> Data
 
 
 def line_forms(ids: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """id and normal form of the lines named by ``ids`` (distinct), from their first occurrences."""
+    """id and normal form of the lines named by ``ids`` (distinct), from their first occurrences. A text is cut into lines once for all of its own."""
 
-    @F.pandas_udf("string")
-    def normal(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda t: b" ".join(normal_lines(t)[0]).decode("utf-8", "replace"))
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            named, found = batch.column("named").to_pylist(), []
+            for own, text in zip(named, batch.column("text").to_pylist()):
+                raw = text.split("\n")
+                found += [b" ".join(normal_lines(raw[x["line"]])[0]).decode("utf-8", "replace") for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array([x["id"] for x in chain.from_iterable(named)], pa.int64()), pa.array(found, pa.string())], names=["id", "form"])
 
-    places = lines.join(ids, "id").select("id", "first.*")
+    places = lines.join(ids, "id").select("id", "first.*").groupBy("doc_id", "th").agg(F.collect_list(F.struct("id", "line")).alias("named"))
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "text").where("text IS NOT NULL")
-    found = places.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")))
-    found = found.select("id", F.get(F.split("text", "\n"), F.col("line")).alias("raw")).groupBy("id").agg(F.min("raw").alias("raw"))
-    return found.select("id", normal("raw").alias("form"))
+    found = places.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))).select("named", "text")
+    return found.mapInArrow(forms, "id long, form string").groupBy("id").agg(F.min("form").alias("form"))  # rows may repeat
 
 
 def linked_lines(distinct: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """(id, component) of all lines of ``distinct`` (id, fp, more, keys, first) that have links."""
-    met = stored(met_in_blocks(distinct, similarity))
+    met = stored(met_in_blocks(distinct, similarity), batch=10_000)
+    ends = met.select(F.explode(F.when(F.col("kind") == PAIR, F.array("a", "b")).otherwise(F.array("a"))).alias("id")).distinct()
+    forms = stored(line_forms(ends, distinct, docs))
     pairs = stored(first_pairs(met, similarity))
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    groups = stored(components(similar_pairs(pairs, line_forms(ends(pairs), distinct, docs), similarity)).withColumnRenamed("node", "id"))
+    groups = stored(components(similar_pairs(pairs, forms, similarity)).withColumnRenamed("node", "id"))
     for between in (pairs_between, all_pairs_between):  # centres first: they leave few groups for the rest
         rest = stored(between(met, groups, similarity).join(pairs, ["a", "b"], "left_anti"))
         if rest.limit(1).count():
             # what is left are links between groups: a small graph of its own
-            links = components(similar_pairs(rest, line_forms(ends(rest), distinct, docs), similarity).select("ga", "gb")).select(F.col("node").alias("group"), F.col("component").alias("joint"))
+            links = components(similar_pairs(rest, forms, similarity).select("ga", "gb")).select(F.col("node").alias("group"), F.col("component").alias("joint"))
             grouped = distinct.select("id").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id"))
             joined = grouped.join(links, "group", "left").where("component IS NOT NULL OR joint IS NOT NULL")
             groups = stored(joined.select("id", F.coalesce("joint", "group").alias("component")))

@@ -362,3 +362,33 @@ def test_pairs_that_many_batches_hold_are_all_decided(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted(got) == want and 60 < len(want) < 240
+
+
+def test_lines_of_a_buffer_are_those_of_each_text():
+    """Places, normal forms, sizes and numbers of features as line by line, and the same features in whatever batch a line comes."""
+    rng = random.Random(55)
+    texts = [None, "", "\n\n", "a\n\nb  c\n", " x ", "ÀÉ İ\n二 二" * 9, "w" * 50 + " " + "b c " * 20, "z" * 3000 + "\n" + "q 7 " * 13, "!!!\n???"]
+    texts += ["\n".join(" ".join("".join(rng.choices("abcÉ9,", k=rng.randint(1, 24))) for _ in range(rng.randint(0, 30))) for _ in range(5)) for _ in range(40)]
+
+    def found(texts):
+        flat, count = line_dedup._normal_buffer(texts)
+        place, forms, sizes, short, features, length = line_dedup._buffer_lines(flat)
+        doc = np.searchsorted(np.cumsum(count), place, side="right")
+        want = [(k, n, words) for k, t in enumerate(texts) for n, words in enumerate(normal_lines(t or "")) if words]
+        assert list(zip(doc.tolist(), (place - (np.cumsum(count) - count)[doc]).tolist(), forms)) == [(k, n, b" ".join(w)) for k, n, w in want]
+        assert short.tolist() == [len(w) < line_dedup.SHORT for *_, w in want] and sizes.tolist() == [len(x.decode()) for x in forms]
+        assert length.tolist() == [len(line_features(w)) for *_, w in want]
+        return {x: sorted(features[at : at + n].tolist()) for x, at, n in zip(forms, np.cumsum(length) - length, length)}
+
+    whole = found(texts)
+    assert all(whole[x] == own for t in texts for x, own in found([t]).items())
+    assert not found([])
+
+
+def test_forms_of_rows_that_repeat_and_of_null_ids(spark):
+    rows = [(None, 5, "A b!\n\nC  D\nx"), (1, 6, "E\nf"), (1, 6, "E\nf"), (2, 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, th long, text string")
+    lines = [(10, (None, 5, 0)), (11, (None, 5, 2)), (12, (None, 5, 3)), (13, (1, 6, 1)), (14, (1, 6, 0))]
+    lines = spark.createDataFrame(lines, "id long, first struct<doc_id:long,th:long,line:int>")
+    ids = spark.createDataFrame([(k,) for k in (10, 11, 13)], "id long")
+    assert sorted(tuple(r) for r in line_dedup.line_forms(ids, lines, docs).collect()) == [(10, "a b"), (11, "c d"), (13, "f")]
