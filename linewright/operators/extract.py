@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, compact_alnum, join_labels, rule_key, split_labels
-from .lines import first_by
+from ..functions.text import bound, clean, compact_alnum, join_labels, rule_key, split_labels
+from .lines import first_by, spread
 from .vocabulary import Rule, collected, held_entries
 
 # ---- gazetteers and rules over the rule key -------------------------------------------------------------------------
@@ -184,15 +184,17 @@ def without_brands(c: Column, brands: Column) -> Column:
 def segments(c: Column) -> Column:
     """Parts of a text between line ends, bullets and punctuation, of 3 characters or more."""
     rough = F.filter(F.transform(F.split(F.replace(clean(c), F.lit("||"), F.lit("\n")), r"[\n\r]+|[•✓·]+"), clean), lambda p: F.length(p) >= 3)
-    fine = F.filter(F.transform(F.flatten(F.transform(rough, lambda p: F.split(p, r"[-–—,:;(){}\[\]]+"))), clean), lambda p: F.length(p) >= 3)
-    return F.when(F.size(fine) > 0, fine).otherwise(rough)
+    cut = lambda rough: F.filter(F.transform(F.flatten(F.transform(rough, lambda p: F.split(p, r"[-–—,:;(){}\[\]]+"))), clean), lambda p: F.length(p) >= 3)
+    return bound(rough, lambda rough: bound(cut(rough), lambda fine: F.when(F.size(fine) > 0, fine).otherwise(rough)))
 
 
 def bare_phrase(c: Column) -> Column:
     """A phrase up to the first address or price, without phone numbers, handles, odd punctuation and promotion."""
-    s = clean(c)
-    s = F.when(s.rlike(ADDRESS), F.substring(s, F.lit(1), F.regexp_instr(s, F.lit(ADDRESS)) - 1)).otherwise(s)
-    s = F.when(F.regexp_instr(s, F.lit(PRICE)) > 3, F.substring(s, F.lit(1), F.regexp_instr(s, F.lit(PRICE)) - 1)).otherwise(s)
+
+    def before(s: Column, pattern: str, least: int) -> Column:
+        return bound(F.struct(s.alias("s"), F.regexp_instr(s, F.lit(pattern)).alias("at")), lambda x: F.when(x["at"] > least, F.substring(x["s"], F.lit(1), x["at"] - 1)).otherwise(x["s"]))
+
+    s = bound(bound(clean(c), lambda s: before(s, ADDRESS, 0)), lambda s: before(s, PRICE, 3))
     for pattern in (PHONE, r"(?U)[@#]\S+", "[|:;,_]+"):
         s = F.regexp_replace(s, pattern, " ")
     s = F.btrim(F.regexp_replace(s, r"(?U)\s+", " "), F.lit(_EDGE))
@@ -209,64 +211,101 @@ def _count(c: Column, pattern: str) -> Column:
 
 def is_soup(c: Column) -> Column:
     """Scraps of misread text: short tokens, tokens without vowels, odd characters."""
-    own = F.filter(F.transform(tokens(c), rule_key), lambda t: t != "")
-    n, one, two = F.size(own), F.size(F.filter(own, lambda t: F.length(t) <= 1)), F.size(F.filter(own, lambda t: F.length(t) <= 2))
-    vowels = F.aggregate(own, F.lit(0.0), lambda a, t: a + F.when(t.rlike("[aeiouyăâêôơư]"), 1.0).when(t.rlike(r"\d"), 0.5).otherwise(0.0)) / n
-    return (n == 0) | ((n >= 4) & (one >= 2)) | ((n >= 6) & (two / n >= 0.55)) | (vowels < 0.55) | (_count(c, r"(?U)[^A-Za-zÀ-ỹ0-9\s+\-/]") >= 3)
+    # where words of ASCII letters and digits stand alone, their keys are their small letters
+    keys = F.when(c.rlike("^[A-Za-z0-9]+( [A-Za-z0-9]+)*$"), F.split(F.lower(c), " ")).otherwise(F.filter(F.transform(tokens(c), rule_key), lambda t: t != ""))
+
+    def judged(own: Column) -> Column:
+        n, one, two = F.size(own), F.size(F.filter(own, lambda t: F.length(t) <= 1)), F.size(F.filter(own, lambda t: F.length(t) <= 2))
+        vowels = F.aggregate(own, F.lit(0.0), lambda a, t: a + F.when(t.rlike("[aeiouyăâêôơư]"), 1.0).when(t.rlike(r"\d"), 0.5).otherwise(0.0)) / n
+        return (n == 0) | ((n >= 4) & (one >= 2)) | ((n >= 6) & (two / n >= 0.55)) | (vowels < 0.55)
+
+    return bound(keys, judged) | (_count(c, r"(?U)[^A-Za-zÀ-ỹ0-9\s+\-/]") >= 3)
 
 
 def is_bad_phrase(c: Column, norm: Column) -> Column:
     """No product name: ``c`` is bare already and ``norm`` its rule key."""
+    some = norm.isin(NO_PHRASES) | ~F.length(c).between(4, 70) | ~c.rlike("[A-Za-zÀ-ỹ]")
+
+    def counted(x: Column) -> Column:
+        n, filler, digits, captions = (x[k] for k in ("n", "filler", "digits", "captions"))
+        return (
+            ~n.between(2, 9) | (filler / n >= 0.35) | (captions >= 2) | (digits >= F.greatest(F.lit(2), F.floor(n / 2))) | ((captions >= 1) & ~c.rlike(CAPTION_EXCUSE))
+            | c.rlike(PHONE) | c.rlike(ADDRESS) | is_soup(c) | (c.rlike(CONTACT) & ~c.rlike(PRODUCT_CUE))
+        )
+
+    filler, digits = lambda t: t.isin(FILLERS), lambda t: t.rlike(r"^\d+$")
+    counts = lambda own: F.struct(F.size(own).alias("n"), F.size(F.filter(own, filler)).alias("filler"), F.size(F.filter(own, digits)).alias("digits"), _count(c, CAPTION).alias("captions"))
+    return some | bound(bound(F.split(norm, " "), counts), counted)
+
+
+def phrase_marks(c: Column, norm: Column) -> Column:
+    """What the score of a phrase is made of, wherever it stands."""
     own = F.split(norm, " ")
-    n = F.size(own)
-    filler = F.size(F.filter(own, lambda t: t.isin(FILLERS)))
-    digits = F.size(F.filter(own, lambda t: t.rlike(r"^\d+$")))
-    captions = _count(c, CAPTION)
-    return (
-        norm.isin(NO_PHRASES) | ~F.length(c).between(4, 70) | ~n.between(2, 9) | ~c.rlike("[A-Za-zÀ-ỹ]") | c.rlike(PHONE) | c.rlike(ADDRESS) | is_soup(c) | (filler / n >= 0.35) | (captions >= 2)
-        | ((captions >= 1) & ~c.rlike(CAPTION_EXCUSE)) | (c.rlike(CONTACT) & ~c.rlike(PRODUCT_CUE)) | (digits >= F.greatest(F.lit(2), F.floor(n / 2)))
-    )
+    marks = {"cue": c.rlike(PRODUCT_CUE), "promotion": c.rlike(PROMOTION), "care": c.rlike(CARE_WORD), "food": c.rlike(FOOD_WORD)}
+    return F.struct(F.size(own).alias("n"), _count(c, CAPTION).alias("captions"), F.size(F.filter(own, lambda t: t.isin(FILLERS))).alias("filler"), *(v.alias(k) for k, v in marks.items()))
 
 
-def phrase_score(c: Column, norm: Column, rank: Column, source: Column) -> Column:
-    n, captions = F.size(F.split(norm, " ")), _count(c, CAPTION)
-    filler = F.size(F.filter(F.split(norm, " "), lambda t: t.isin(FILLERS)))
-    score = F.when(n.between(2, 5), 1.6).when(n.between(6, 8), 0.8).otherwise(-1.0) + F.when(c.rlike(PRODUCT_CUE), 2.4).otherwise(0.0) + F.greatest(F.lit(0.0), 0.7 - 0.07 * rank)
-    score = score + F.when(source == 0, 1.3).when(source == 1, 0.8).otherwise(0.4) - F.when(c.rlike(PROMOTION), 1.0).otherwise(0.0) - captions * 0.8 - filler * 0.5
-    return F.round(score + F.when(c.rlike(CARE_WORD), 0.8).otherwise(0.0) + F.when(c.rlike(FOOD_WORD) & (captions == 0), 0.6).otherwise(0.0), 4)
+def phrase_score(marks: Column, rank: Column, source: Column) -> Column:
+    n, captions = marks["n"], marks["captions"]
+    score = F.when(n.between(2, 5), 1.6).when(n.between(6, 8), 0.8).otherwise(-1.0) + F.when(marks["cue"], 2.4).otherwise(0.0) + F.greatest(F.lit(0.0), 0.7 - 0.07 * rank)
+    score = score + F.when(source == 0, 1.3).when(source == 1, 0.8).otherwise(0.4) - F.when(marks["promotion"], 1.0).otherwise(0.0) - captions * 0.8 - marks["filler"] * 0.5
+    return F.round(score + F.when(marks["care"], 0.8).otherwise(0.0) + F.when(marks["food"] & (captions == 0), 0.6).otherwise(0.0), 4)
 
 
-def phrase_candidates(df: DataFrame, key: str, text: str = "ocr_text", brand: str | None = None) -> DataFrame:
-    """key, phrase, norm, source (0 known pattern, 1 window around a cue, 2 whole segment), rank, seq and score: the first of each norm."""
-    split = df.select(key, (F.col(brand) if brand else F.lit("")).alias("_brand"), F.posexplode(segments(F.col(text))).alias("rank", "_seg"))
-    split = split.withColumn("_seg", bare_phrase(without_brands(F.col("_seg"), F.col("_brand")))).where((F.col("_seg") != "") & F.col("_seg").rlike(PRODUCT_CUE)).withColumn("_t", tokens(F.col("_seg")))
-    seg, t = F.col("_seg"), F.col("_t")
+_PHRASES = "array<struct<source:int,seq:bigint,phrase:string>>"
+
+
+def segment_phrases(seg: Column) -> Column:
+    """source, seq and phrase of all that a bare segment may name, in their order."""
     item = lambda source, seq, phrase: F.struct(F.lit(source).alias("source"), seq.cast("long").alias("seq"), phrase.alias("phrase"))
     matches = lambda k, p: F.transform(F.regexp_extract_all(seg, F.lit(p), 0), lambda x, i: item(0, F.lit(k * 1_000_000) + i, x))
-    known = F.concat(*(matches(k, p) for k, p in enumerate(KNOWN)))
-    cues = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(t, i).rlike(PRODUCT_CUE))
+    none = F.array().cast(_PHRASES)
 
-    def around(i: Column) -> Column:
-        def from_start(start: Column) -> Column:
-            stop = F.least(F.size(t), start + 7)
-            none = F.array().cast("array<struct<source:int,seq:bigint,phrase:string>>")
-            return F.when(stop >= i + 2, F.transform(F.sequence(i + 2, F.greatest(stop, i + 2)), lambda end: item(1, (i.cast("long") * 100 + start - i + 50) * 100 + end - i, F.array_join(F.slice(t, start + 1, end - start), " ")))).otherwise(none)
+    def of_tokens(t: Column) -> Column:
+        def around(i: Column) -> Column:
+            def from_start(start: Column) -> Column:
+                stop = F.least(F.size(t), start + 7)
+                return F.when(stop >= i + 2, F.transform(F.sequence(i + 2, F.greatest(stop, i + 2)), lambda end: item(1, (i.cast("long") * 100 + start - i + 50) * 100 + end - i, F.array_join(F.slice(t, start + 1, end - start), " ")))).otherwise(none)
 
-        return F.flatten(F.transform(F.sequence(F.greatest(F.lit(0), i - 2), i), from_start))
+            return F.flatten(F.transform(F.sequence(F.greatest(F.lit(0), i - 2), i), from_start))
 
-    none = F.array().cast("array<struct<source:int,seq:bigint,phrase:string>>")
-    windows = F.when(F.size(t) > 0, F.flatten(F.transform(cues, around))).otherwise(none)
-    whole = F.when(F.size(t).between(2, 7), F.array(item(2, F.lit(0), seg))).otherwise(none)
-    made = split.select(key, "rank", F.explode(F.concat(known, windows, whole)).alias("_c")).select(key, "rank", "_c.source", "_c.seq", bare_phrase(F.col("_c.phrase")).alias("phrase"))
-    made = made.withColumn("norm", rule_key(F.col("phrase"))).where(~is_bad_phrase(F.col("phrase"), F.col("norm")))
-    once = F.row_number().over(Window.partitionBy(key, "norm").orderBy("rank", "source", "seq"))
-    made = made.withColumn("_once", once).where("_once = 1").drop("_once")
-    return made.withColumn("score", phrase_score(F.col("phrase"), F.col("norm"), F.col("rank"), F.col("source")))
+        cues = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(t, i).rlike(PRODUCT_CUE))
+        windows = F.when(F.size(t) > 0, F.flatten(F.transform(cues, around))).otherwise(none)
+        return F.concat(windows, F.when(F.size(t).between(2, 7), F.array(item(2, F.lit(0), seg))).otherwise(none))
+
+    return F.concat(*(matches(k, p) for k, p in enumerate(KNOWN)), bound(tokens(seg), of_tokens))
+
+
+def judged_phrases(seg: Column, brand: Column) -> Column:
+    """source, seq, phrase, norm and marks of all phrases of a segment that may be names; each step is made once for a phrase."""
+    bare = lambda x: F.struct(x["source"], x["seq"], bare_phrase(x["phrase"]).alias("phrase"))
+    keyed = lambda x: F.struct(x["source"], x["seq"], x["phrase"], rule_key(x["phrase"]).alias("norm"))
+    marked = lambda x: F.struct(x["source"], x["seq"], x["phrase"], x["norm"], phrase_marks(x["phrase"], x["norm"]).alias("marks"))
+
+    def judged(s: Column) -> Column:
+        made = F.transform(F.transform(segment_phrases(s), bare), keyed)
+        return F.when((s != "") & s.rlike(PRODUCT_CUE), F.transform(F.filter(made, lambda x: ~is_bad_phrase(x["phrase"], x["norm"])), marked))
+
+    return bound(bare_phrase(without_brands(seg, brand)), judged)
+
+
+def phrase_candidates(df: DataFrame, key: str, text: str = "ocr_text", brand: str | None = None) -> DataFrame:
+    """key, phrase, norm, source (0 known pattern, 1 window around a cue, 2 whole segment), rank, seq and score: the first of each norm.
+
+    Phrases are looked for once in each different segment, in tasks of their own whatever the files are cut into.
+    """
+    split = df.select(key, F.coalesce(brand, F.lit("")).alias("_brand") if brand else F.lit("").alias("_brand"), F.posexplode(segments(F.col(text))).alias("rank", "_seg"))
+    once = spread(split.select("_brand", "_seg").distinct())
+    found = once.select("_brand", "_seg", F.explode(judged_phrases(F.col("_seg"), F.col("_brand"))).alias("_c")).select("_brand", "_seg", "_c.*")
+    made = split.join(found, ["_brand", "_seg"]).select(key, "rank", "source", "seq", "phrase", "norm", "marks").repartition(key)
+    made = first_by(made, [key, "norm"], F.asc("rank"), F.asc("source"), F.asc("seq"))
+    return made.select(key, "rank", "source", "seq", "phrase", "norm", phrase_score(F.col("marks"), F.col("rank"), F.col("source")).alias("score"))
 
 
 def best_phrase(df: DataFrame, key: str, threshold: float = 6.3, text: str = "ocr_text", brand: str | None = None) -> DataFrame:
     """key, product_v4 (empty below the threshold) and product_v4_score of items with any candidate."""
-    best = first_by(phrase_candidates(df, key, text, brand), [key], F.desc("score"), F.asc("rank"), F.asc("source"), F.asc("seq"))
+    order = F.struct((-F.col("score")).alias("a"), "rank", "source", "seq")
+    best = phrase_candidates(df, key, text, brand).groupBy(key).agg(F.min_by(F.struct("phrase", "score"), order).alias("_b")).select(key, "_b.*")
     return best.select(key, F.when(F.col("score") >= threshold, F.col("phrase")).otherwise(F.lit("")).alias("product_v4"), F.col("score").alias("product_v4_score"))
 
 

@@ -87,6 +87,16 @@ def phrases(spark, text):
     return {r["phrase"]: (r["source"], r["rank"], r["score"]) for r in ex.phrase_candidates(df, "id").collect()}
 
 
+def test_phrases_are_judged_once_for_a_segment_and_dealt_out(spark):
+    df = spark.createDataFrame([(k, f"body scrub || fresh serum {'gold' if k % 2 else 'mild'}") for k in range(40)], "id long, ocr_text string").coalesce(1)
+    found = ex.phrase_candidates(df, "id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition " in plan and plan.index("Aggregate") > plan.index("Repartition ")  # different segments first, then tasks of their own
+    rows = found.collect()
+    assert sorted((r["phrase"], r["rank"], r["score"]) for r in rows if r["id"] == 7) == sorted((r["phrase"], r["rank"], r["score"]) for r in rows if r["id"] == 39)
+    assert {r["id"] for r in rows} == set(range(40)) and len(rows) == len({(r["id"], r["norm"]) for r in rows})
+
+
 def test_phrase_scores(spark):
     assert phrases(spark, "body scrub")["body scrub"] == (0, 0, 6.8)
     assert phrases(spark, "dozen toner mask")["toner mask"][2] == 6.3  # a window at the first segment reaches the threshold exactly
