@@ -55,6 +55,20 @@ def test_junk_lines(spark, text, score, junk):
     assert df.select(fe.is_junk_line(F.col("t"), F.col("s"))).first()[0] is junk
 
 
+def test_classes_of_accents_are_runs(spark):
+    for letters, made in ((fe.ACCENTS, fe.ACCENT_CLASS), (fe.LOWER_ACCENTS, fe.LOWER_ACCENT_CLASS)):
+        assert "&&" in made and len(made) <= len(letters)  # a class that lists its letters tests each of them at every character
+        text = "".join(map(chr, range(0x20, 0x2100)))
+        assert one_text(spark, text, F.length(F.regexp_replace("t", made, ""))) == len(text) - len(set(letters))
+    assert len(fe.ACCENT_CLASS) < len(fe.ACCENTS) / 2
+    plan = str(fe.text_features(F.col("t"), "router")["junk_count"]) + str(fe.text_features(F.col("t"))["accent_count"])
+    assert "^0-9" not in plan and fe.ACCENTS not in plan
+
+
+def one_text(spark, text, expr):
+    return column(spark, [text], expr)[0][0]
+
+
 def test_feature_profiles(spark):
     values = ["Trà Sữa 50+.", "", " x ", "nan", None]
     got = {p: [r[0] for r in column(spark, values, F.struct(*(v.cast("double").alias(k) for k, v in fe.text_features(F.col("t"), p).items())))] for p in fe.PROFILES}
