@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import number, with_text_features
-from .lines import CROPS, crop_lines, first_by, joined_places, marked_lines, merged_lines, policy_lines
+from ..functions.features import ACCENT_CLASS, joined_features, line_counts, number, with_text_features
+from ..functions.text import clean
+from .crops import MERGED, WHOLE, candidate_arrays
+from .lines import CROPS, MERGES, POLICIES, first_by
 
 CATEGORICAL = ["candidate_name", "candidate_type", "source_variant"]
 NUMERIC = [
@@ -20,29 +24,107 @@ NUMERIC = [
 RAW = ["text_len", "word_count", "num_lines", "avg_line_score", "digit_ratio", "alpha_ratio", "junk_ratio"]
 
 
+@dataclass
+class Candidates:
+    """Candidates of each item as one array: ``df`` has the key, ``_texts`` and ``_c``.
+
+    Features are sums over lines, so texts are put together only where they are asked for. What is chosen is chosen
+    within the row, without an exchange.
+    """
+
+    df: DataFrame
+    key: str
+    profile: str
+    crops: list[str]
+    merges: list[str]
+
+    @classmethod
+    def of(cls, lines: DataFrame, key: str, merges: bool = False, crops=CROPS, profile: str = "live", features: bool = True, policies: tuple[str, ...] = POLICIES) -> Candidates:
+        """``lines``: key, line_idx, ord, line_text, line_score, area_ratio."""
+        pairs = [list(p) for p in MERGES] if merges else []
+        crops = [tuple(c) for c in crops]
+        shown = lines.where(F.col(key).isNotNull()).withColumn("_text", clean(F.col("line_text")))
+        counts = line_counts(F.col("_text"), profile) if features else {}
+        one = F.struct("ord", "line_idx", F.lower("_text").alias("low"), F.col("line_score").cast("double").alias("score"), F.col("area_ratio").cast("double").alias("area"), F.col("line_text").rlike(ACCENT_CLASS).cast("int").alias("accented"), (F.length("_text") >= 8).cast("int").alias("long"), *(v.alias(f"of_{k}") for k, v in counts.items()), F.col("_text").alias("text"))
+        rows = shown.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("_l"))
+        sums = [f"of_{k}" for k in counts]
+        kind = "array<struct<kind:int,variant:int,policy:int,places:array<int>,num_lines:bigint,avg_line_score:double,median_line_score:double,avg_area_ratio:double" + "".join(f",{k}:bigint" for k in sums) + ",candidate_name:string,cand_ord:int" + (",text_len:int,junk:double,rank_score:double" if features else "") + ">>"
+
+        @F.arrow_udf(kind)
+        def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                found = list(candidate_arrays(batch, crops, policies, pairs, sums))
+                yield pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.null()))
+
+        fields = [c for c in ("line_idx", "low", "score", "area", "accented", "long", *sums)]
+        slim = F.transform("_l", lambda x: F.struct(*(x[c].alias(c) for c in fields)))
+        df = rows.select(key, F.transform("_l", lambda x: x["text"]).alias("_texts"), slim.alias("_l")).select(key, "_texts", made(F.col("_l")).alias("_c"))
+        return cls(df, key, profile, [c[0] for c in crops], ["+".join(p) for p in pairs])
+
+    def fields(self, c: Column, features: bool = True) -> dict[str, Column]:
+        """All columns of a candidate but its text."""
+        listed = lambda names: F.array(*map(F.lit, names or [""]))
+        names = {
+            "candidate_name": c["candidate_name"], "candidate_type": F.get(F.array(F.lit("existing_variant"), F.lit("single_variant_line_policy"), F.lit("merged_line_policy")), c["kind"]),
+            "source_variant": F.when(c["kind"] == MERGED, F.get(listed(self.merges), c["variant"])).otherwise(F.get(listed(self.crops), c["variant"])), "cand_ord": c["cand_ord"],
+        }
+        stats = {k: c[k] for k in ("num_lines", "avg_line_score", "median_line_score", "avg_area_ratio")}
+        return names | stats | (self.features(c) if features else {})
+
+    def features(self, c: Column) -> dict[str, Column]:
+        counted = ("n", "dot", "plus", "alpha", "digit", "upper", "accent", "words", "bad", "null")
+        return joined_features({k: c[f"of_{k}"] for k in counted}, F.size(c["places"]), self.profile)
+
+    def text(self, c: Column) -> Column:
+        return F.array_join(F.transform(c["places"], lambda i: F.get(F.col("_texts"), i)), " ")
+
+    def rows(self, features: bool = True) -> DataFrame:
+        """A row for each candidate; with ``features`` all that ``with_features`` gives."""
+        raw = F.get("_c", F.lit(self.crops.index("raw"))) if "raw" in self.crops else F.get(F.slice("_c", 1, 0), F.lit(0))  # whole crops come first
+        split = self.df.select(self.key, "_texts", *([raw.alias("_raw")] if features else []), F.explode("_c").alias("_c"))
+        c = F.col("_c")
+        out = split.select("*", *(v.alias(k) for k, v in self.fields(c, features).items())).withColumn("ocr_text", self.text(c))
+        if features:
+            r = F.col("_raw")
+            of_raw = self.features(r) | {k: r[k] for k in ("num_lines", "avg_line_score")}
+            out = with_lines(out)
+            out = with_relative(out, {f"raw_{k}": F.when(r.isNotNull(), of_raw[k]).cast("double") for k in RAW}, self.profile)
+        return out.drop("_texts", "_raw", "_c")
+
+    def chosen(self, predicted: Callable[[Column], Column] | None = None, evidence: bool = False) -> DataFrame:
+        """key, candidate_name, ocr_text and rank_score of the candidate that ``choose`` takes (live profile; ``predicted``: of a candidate
+        with its name), and with ``evidence`` the text that ``evidence`` makes."""
+
+        def numbers(c: Column) -> Column:
+            ties = [(-c["text_len"]).alias("t0"), c["cand_ord"].alias("t1"), c["candidate_name"].alias("t2")]
+            score, places = -c["rank_score"], c["places"].alias("places")
+            order = predicted(c) if predicted else F.lit(None).cast("double")
+            return F.struct(F.struct(score.alias("a"), *ties, places).alias("best"), F.struct(order.alias("a"), c["junk"].alias("b"), *ties, score.alias("s"), places).alias("model"))
+
+        made = self.df.withColumn("_n", F.transform("_c", numbers)).withColumn("_best", F.array_min(F.transform("_n", lambda n: n["best"])))
+        best = F.col("_best")
+        pick = F.struct(best["t2"].alias("name"), best["a"].alias("s"), best["places"].alias("places"))
+        if predicted:
+            made = made.withColumn("_model", F.array_min(F.filter(F.transform("_n", lambda n: n["model"]), lambda m: m["a"].isNotNull())))
+            model = F.col("_model")
+            pick = F.when(F.size(model["places"]) > 0, F.struct(model["t2"].alias("name"), model["s"].alias("s"), model["places"].alias("places"))).otherwise(pick)
+        made = made.withColumn("_pick", pick)
+        out = made.select(self.key, F.col("_pick.name").alias("candidate_name"), self.text(F.col("_pick")).alias("ocr_text"), (-F.col("_pick.s")).alias("rank_score"), "_texts", "_c")
+        if not evidence:
+            return out.drop("_texts", "_c")
+        whole = F.filter(F.array_sort(F.transform(F.filter("_c", lambda c: (c["kind"] == WHOLE) & (F.size(c["places"]) > 0)), lambda c: F.struct(c["variant"].alias("variant"), c["places"].alias("places")))), lambda c: F.size(c["places"]) > 0)
+        parts = F.concat(F.array("ocr_text", "ocr_text"), F.transform(whole, self.text))
+        text = F.array_join(F.filter(parts, lambda x, i: (i == 0) | (x != "")), " || ")
+        return out.select(self.key, "ocr_text", F.trim(text).alias("evidence_text"))
+
+
 def candidates(lines: DataFrame, key: str, merges: bool = False, crops=CROPS) -> DataFrame:
     """A candidate for every crop (blank ones too) and for every line policy that keeps text.
 
     ``lines``: key, line_idx, ord, line_text, line_score, area_ratio.
     """
-    slim, texts = marked_lines(lines, key)
-    cropped = crop_lines(slim, key, crops)
-    whole = joined_places(cropped, [key, "variant"])
-    names = F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), F.lit(k).alias("variant_ord")) for k, (n, *_) in enumerate(crops))))
-    every = texts.select(key).withColumn("_v", names).select(key, "_v.variant", "_v.variant_ord")
-    whole = every.join(whole, [key, "variant"], "left").na.fill({"num_lines": 0, "avg_line_score": 0.0, "median_line_score": 0.0, "avg_area_ratio": 0.0}).withColumns({"candidate_name": F.concat(F.lit("variant::"), "variant"), "candidate_type": F.lit("existing_variant"), "cand_ord": F.col("variant_ord") * 100})
-    policies = joined_places(policy_lines(cropped, [key, "variant", "variant_ord"]), [key, "variant", "variant_ord", "policy", "policy_ord"]).where(F.size("places") > 0)
-    policies = policies.withColumns({"candidate_name": F.concat(F.lit("line::"), "variant", F.lit("::"), "policy"), "candidate_type": F.lit("single_variant_line_policy"), "cand_ord": F.col("variant_ord") * 100 + F.col("policy_ord") + 1})
-    out = [whole, policies]
-    if merges:
-        merged = joined_places(merged_lines(cropped, key), [key, "merge"]).withColumnRenamed("merge", "variant")
-        out.append(merged.withColumns({"candidate_name": F.concat(F.lit("merge::"), "variant", F.lit("::score_ge_085")), "candidate_type": F.lit("merged_line_policy"), "cand_ord": F.lit(10_000)}))
-    shown = [key, "candidate_name", "candidate_type", F.col("variant").alias("source_variant"), F.col("cand_ord").cast("int").alias("cand_ord"), "places", "num_lines", "avg_line_score", "median_line_score", "avg_area_ratio"]
-    united = out[0].select(*shown)
-    for more in out[1:]:
-        united = united.unionByName(more.select(*shown))
-    text = F.coalesce(F.array_join(F.transform("places", lambda i: F.get("_texts", i)), " "), F.lit(""))
-    return united.join(texts, key).withColumn("ocr_text", text).drop("places", "_texts")
+    shown = [key, "candidate_name", "candidate_type", "source_variant", "cand_ord", "num_lines", "avg_line_score", "median_line_score", "avg_area_ratio", "ocr_text"]
+    return Candidates.of(lines, key, merges, crops, features=False).rows(features=False).select(*shown)
 
 
 def relative_to_raw(df: DataFrame, key: str, is_raw: Column, profile: str = "live") -> DataFrame:
@@ -50,24 +132,31 @@ def relative_to_raw(df: DataFrame, key: str, is_raw: Column, profile: str = "liv
     raw + 1 and leaves what depends on a missing raw row null. Computing twice gives the same: old columns go first."""
     df = df.drop(*(c for c in df.columns if c.startswith(("raw_", "rel_")) or c in ("delta_score_vs_raw", "delta_junk_vs_raw")))
     by = Window.partitionBy(key)
-    raw = {f"raw_{c}": F.max(F.when(is_raw, F.col(c))).over(by).cast("double") for c in RAW}
+    return with_relative(df, {f"raw_{c}": F.max(F.when(is_raw, F.col(c))).over(by).cast("double") for c in RAW}, profile)
+
+
+def with_relative(df: DataFrame, raw: dict[str, Column], profile: str = "live") -> DataFrame:
+    """What ``relative_to_raw`` adds, from the raw row's values."""
     out = df.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in raw.items()} if profile == "live" else raw)
     under = lambda c: F.greatest(F.lit(1.0), c) if profile == "live" else F.coalesce(c, F.lit(0.0)) + 1.0
     rel = {f"rel_{c}_vs_raw": F.col(c) / under(F.col(f"raw_{c}")) for c in ("text_len", "word_count", "num_lines")}
     return out.withColumns(rel | {"delta_score_vs_raw": F.col("avg_line_score") - F.col("raw_avg_line_score"), "delta_junk_vs_raw": F.col("junk_ratio") - F.col("raw_junk_ratio")})
 
 
+def with_lines(df: DataFrame) -> DataFrame:
+    lines = F.coalesce(F.col("num_lines").cast("double"), F.lit(0.0))
+    return df.withColumns({"line_score_x_num_lines": F.coalesce("avg_line_score", F.lit(0.0)) * lines, "area_x_num_lines": F.coalesce("avg_area_ratio", F.lit(0.0)) * lines})
+
+
 def with_features(df: DataFrame, key: str, profile: str = "live") -> DataFrame:
     """The 35 numeric features of each candidate."""
-    made = with_text_features(df, "ocr_text", profile)
-    lines = F.coalesce(F.col("num_lines").cast("double"), F.lit(0.0))
-    made = made.withColumns({"line_score_x_num_lines": F.coalesce("avg_line_score", F.lit(0.0)) * lines, "area_x_num_lines": F.coalesce("avg_area_ratio", F.lit(0.0)) * lines})
+    made = with_lines(with_text_features(df, "ocr_text", profile))
     return relative_to_raw(made, key, F.col("candidate_name") == "variant::raw", profile)
 
 
-def rank_score() -> Column:
+def rank_score(of: Callable[[str], Column] = F.col) -> Column:
     """The choice without a model: sure lines and many words count for a candidate, junk and merging against it."""
-    return 4.0 * F.coalesce("avg_line_score", F.lit(0.0)) + F.least(F.coalesce("word_count", F.lit(0)), F.lit(40)) / 10.0 - 3.0 * F.coalesce("junk_ratio", F.lit(0.0)) - F.when(F.col("candidate_type") == "merged_line_policy", 2.0).otherwise(0.0)
+    return 4.0 * F.coalesce(of("avg_line_score"), F.lit(0.0)) + F.least(F.coalesce(of("word_count"), F.lit(0)), F.lit(40)) / 10.0 - 3.0 * F.coalesce(of("junk_ratio"), F.lit(0.0)) - F.when(of("candidate_type") == "merged_line_policy", 2.0).otherwise(0.0)
 
 
 def rank_features(df: DataFrame) -> DataFrame:
@@ -137,7 +226,7 @@ def router_features(report: DataFrame, key: str, variants: list[str]) -> DataFra
 def blank_features(df: DataFrame, key: str) -> DataFrame:
     """Twelve aggregates over an item's candidates."""
     named = [f(F.col(c)).alias(f"{n}_{s}") for c, s in (("text_len", "text_len"), ("word_count", "word_count"), ("avg_line_score", "score"), ("num_lines", "num_lines")) for n, f in (("max", F.max), ("mean", F.avg))]
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("cand_count"), F.count_if(F.trim("ocr_text") != "").alias("nonblank_cand_count"), *named, F.min("junk_ratio").alias("min_junk_ratio"), F.avg("junk_ratio").alias("mean_junk_ratio"))
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("cand_count"), F.count_if(F.col("text_len") > 0).alias("nonblank_cand_count"), *named, F.min("junk_ratio").alias("min_junk_ratio"), F.avg("junk_ratio").alias("mean_junk_ratio"))
 
 
 def blank_pivot(df: DataFrame, key: str, variants: list[str]) -> DataFrame:
