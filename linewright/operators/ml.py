@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import trimmed
 from .candidates import CATEGORICAL, NUMERIC, prepared
+from .lines import spread
 
 
 def word_grams(c: Column, least: int = 2, most: int = 4) -> Column:
@@ -46,7 +47,7 @@ class ProductModel:
         return [CountVectorizer(inputCol="grams", outputCol=f"{name}_tf", vocabSize=self.max_features, minDF=2.0), IDF(inputCol=f"{name}_tf", outputCol=f"{name}_idf"), Normalizer(inputCol=f"{name}_idf", outputCol=f"{name}_x")]
 
     def fit(self, labels: DataFrame, text: str = "ocr_text", product: str = "product_name") -> ProductModel:
-        rows = labels.select(trimmed(F.col(text)).alias("text"), trimmed(F.col(product)).alias("product")).withColumn("grams", word_grams(F.col("text"))).withColumn("has", (F.col("product") != "").cast("double")).cache()
+        rows = spread(labels.select(trimmed(F.col(text)).alias("text"), trimmed(F.col(product)).alias("product"))).withColumn("grams", word_grams(F.col("text"))).withColumn("has", (F.col("product") != "").cast("double")).cache()
         self.n_train = rows.count()
         if rows.select("has").distinct().count() == 2:
             head = LogisticRegression(featuresCol="gate_x", labelCol="has", weightCol="weight", maxIter=100, probabilityCol="gate_p", rawPredictionCol="gate_raw", predictionCol="gate_y")
@@ -65,7 +66,7 @@ class ProductModel:
 
     def predict(self, df: DataFrame, text: str = "ocr_text") -> DataFrame:
         """Adds ``predicted_product``."""
-        out = df.withColumns({"_text": trimmed(F.col(text))}).withColumn("grams", word_grams(F.col("_text")))
+        out = spread(df).withColumns({"_text": trimmed(F.col(text))}).withColumn("grams", word_grams(F.col("_text")))
         sure, name = F.lit(False), F.lit("")
         if self.gate is not None and self.classes is not None:
             out = self.classes.transform(self.gate.transform(out))
