@@ -11,6 +11,7 @@ from ..functions.text import compact_alnum, rule_key
 from ..operators import extract as ex
 from ..operators import images, ml, ocr_json
 from ..operators import vocabulary as vc
+from ..operators.lines import spread
 from ..operators.vocabulary import Rule
 from ..sources import models
 from ..streaming import extract as stream
@@ -26,7 +27,7 @@ def _gazetteers(spark, sf):
 
 
 def _evidence(spark, sf):
-    return part_labels(spark, sf).select("item_id", "ocr_text", F.concat_ws(" || ", "ocr_text", "ocr_text").alias("evidence_text"))
+    return spread(part_labels(spark, sf)).select("item_id", "ocr_text", F.concat_ws(" || ", "ocr_text", "ocr_text").alias("evidence_text"))
 
 
 def _rule_rows(spark, sf):
@@ -176,7 +177,7 @@ def stream_extract(spark, sf):
     from ..sources.tables import exists
 
     base = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
-    made = part_labels(spark, sf).select("item_id", F.array(F.struct(F.col("ocr_text").alias("text"), F.lit(0.9).alias("score"))).alias("lines"))
+    made = spread(part_labels(spark, sf)).select("item_id", F.array(F.struct(F.col("ocr_text").alias("text"), F.lit(0.9).alias("score"))).alias("lines"))
     made.write.parquet(f"{base}/in")
     brands, products = _gazetteers(spark, sf)
     source = stream.read_folder(spark, f"{base}/in", "item_id long, lines array<struct<text:string,score:double>>")
