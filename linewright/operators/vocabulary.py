@@ -7,10 +7,11 @@ then judge these. A search is a map over rows, in batch and in streams, without
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +38,15 @@ def held_entries(norm: Column, packed: Column, rows: list, whole: str, inner: st
     kind = "array<struct<" + ",".join(f"{n}:{t}" for n, t in types.items()) + ">>"
     if not rows:
         return F.array().cast(kind)
-    values = [tuple(r[n] for n in types) for r in rows]
     keys = [(r[whole] or "", (r[inner] or "") if len(r[inner] or "") >= least else "") for r in rows]
+    arrow = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    fields = {n: [r[n] if r[n] is None or t != "double" else float(r[n]) for r in rows] for n, t in types.items()}
 
-    @F.pandas_udf(kind)
-    def held(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(kind)
+    def held(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         import ahocorasick
 
+        entries = pa.StructArray.from_arrays([pa.array(v, arrow[types[n]]) for n, v in fields.items()], list(types))
         found = []
         for side in (0, 1):
             numbers: dict[str, list[int]] = {}
@@ -56,12 +59,13 @@ def held_entries(norm: Column, packed: Column, rows: list, whole: str, inner: st
             automaton.make_automaton()
             found.append(automaton if numbers else None)
 
-        def one(*texts: str | None) -> list[dict]:
-            seen = {k for automaton, text in zip(found, texts) if automaton and text for _, own in automaton.iter(text) for k in own}
-            return [dict(zip(types, values[k])) for k in sorted(seen)]
-
-        for n, p in batches:
-            yield pd.Series([one(a, b) for a, b in zip(n, p)], dtype=object)
+        for pair in batches:  # texts are taken from a batch one by one, and what they hold are numbers
+            counts, held = array("i", [0]), array("q")
+            for texts in zip(*pair):
+                texts = (t.as_py() for t in texts)
+                held.extend(sorted({k for automaton, text in zip(found, texts) if automaton and text for _, own in automaton.iter(text) for k in own}))
+                counts.append(len(held))
+            yield pa.ListArray.from_arrays(pa.array(counts, pa.int32()), entries.take(pa.array(held, pa.int64())))
 
     return held(norm, packed)
 
