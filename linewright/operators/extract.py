@@ -129,8 +129,11 @@ def alias_brand(df: DataFrame, aliases: list, threshold: float = 5.0, margin: fl
     An alias must be in the text itself to reach any sensible threshold, so others are not scored.
     ``aliases``: rows (canonical_ord, canonical, alias_ord, alias_norm, alias_compact).
     """
-    df = df.withColumns({"_n": rule_key(F.col(text)), "_e": rule_key(F.col(evidence)), "_ctx": F.concat_ws(" || ", text, evidence).rlike(BRAND_CONTEXT)})
-    df = df.withColumns({"_p": F.regexp_replace("_n", "[^a-z0-9]+", ""), "_ep": F.regexp_replace("_e", "[^a-z0-9]+", "")})
+    near = lambda c: F.coalesce(F.col(c).rlike(BRAND_CONTEXT), F.lit(False))
+    same = F.col(text).eqNullSafe(F.col(evidence))  # then nothing is made twice
+    df = df.withColumns({"_n": rule_key(F.col(text)), "_ctx": near(text) | (~same & near(evidence))})
+    df = df.withColumns({"_p": F.regexp_replace("_n", "[^a-z0-9]+", ""), "_e": F.when(same, F.col("_n")).otherwise(rule_key(F.col(evidence)))})
+    df = df.withColumn("_ep", F.when(same, F.col("_p")).otherwise(F.regexp_replace("_e", "[^a-z0-9]+", "")))
     df = df.withColumn("_held", held_entries(F.col("_n"), F.col("_p"), aliases, "alias_norm", "alias_compact", 6, canonical_ord="long", canonical="string", alias_ord="long", alias_norm="string", alias_compact="string"))
     hits = F.filter("_held", lambda a: holds_alias(F.col("_n"), F.col("_p"), a["alias_norm"], a["alias_compact"]))
 
